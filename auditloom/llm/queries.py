@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding, token_files
+from . import bpe, media, mixing, quality, secrets, sharding, token_files
 from .common import prepare
 
 
@@ -22,11 +22,26 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document."""
+    return secrets.digests(_read(spark, sf_dir, "documents"))
+
+
+def op4_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each document stored as motion-JPEG and read back."""
+    return media.digests(_read(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document as read back from token files."""
     return token_files.digests(_read(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document."""
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document's ids and of the text that they decode to."""
     return bpe.digests(_read(spark, sf_dir, "documents"), _tokenizer())
@@ -48,7 +63,10 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
+    "op4_avi": op4_avi,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op8_mix_sources": op8_mix_sources,
     "op9_shard": op9_shard,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, mixing, quality, secrets, sharding, token_files
+from . import bpe, embeddings, media, mixing, quality, secrets, sharding, token_files
 from .common import prepare
 
 
@@ -22,6 +22,11 @@ def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all vectors."""
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in each document."""
     return secrets.digests(_read(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_links": op1_embedding_links,
     "op2_secrets": op2_secrets,
     "op4_avi": op4_avi,
     "op5_token_files": op5_token_files,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, jaccard, media, mixing, quality, secrets, sharding, token_files
+from . import bpe, embeddings, jaccard, media, mixing, quality, secrets, sharding, substrings, token_files
 from .common import prepare
 
 
@@ -32,6 +32,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that remain of each document once repeats of 13 words are removed."""
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"), length=13, with_text=False)
+
+
 def op4_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of each document stored as motion-JPEG and read back."""
     return media.digests(_read(spark, sf_dir, "documents"))
@@ -75,6 +80,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_links": op1_embedding_links,
     "op2_secrets": op2_secrets,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_avi": op4_avi,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,

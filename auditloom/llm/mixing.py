@@ -75,32 +75,34 @@ def mix(
     taken in part. Equal ids tie on the text, then on nothing: rows that agree
     in both are interchangeable. A null id or source is a value like any other;
     empty and null texts have size 0 and are taken 0 times; an empty table
-    gives an empty result. Other columns pass through untouched.
+    gives an empty result. Other columns pass through untouched, but for ones
+    named like the added columns or ``__mix_...``, which go.
     """
     if size is None:
         size = word_count(F.col(text_col))
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumns({"_size": size, "_key": key, "_tie": F.md5(F.coalesce(text_col, F.lit("")))})
-    rows = rows.withColumns({"_wide": F.substring("_key", 1, 3), "_fine": F.substring("_key", 1, 6)})
-    fine = rows.groupBy(F.col(source_col).alias("s"), F.col("_wide").alias("w"), F.col("_fine").alias("f")).agg(F.sum("_size").alias("n"))
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("__mix_") or c in ("_size", "_source_size", "_target", "_taken")])
+    rows = docs.withColumns({"_size": size, "__mix_key": key, "__mix_tie": F.md5(F.coalesce(text_col, F.lit("")))})
+    rows = rows.withColumns({"__mix_wide": F.substring("__mix_key", 1, 3), "__mix_fine": F.substring("__mix_key", 1, 6)})
+    fine = rows.groupBy(F.col(source_col).alias("s"), F.col("__mix_wide").alias("w"), F.col("__mix_fine").alias("f")).agg(F.sum("_size").alias("n"))
     wide = fine.groupBy("s", "w").agg(F.sum("n").alias("n"))
     goal = targets(wide.groupBy(F.col("s").alias("source")).agg(F.sum("n").alias("source_size")), weights, share, most)
     before = lambda over: F.coalesce(F.sum("n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wide = wide.withColumn("start", before(Window.partitionBy("s").orderBy("w")))
     fine = fine.withColumn("inside", before(Window.partitionBy("s", "w").orderBy("f")))
     fine = fine.alias("a").join(wide.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s")) & (F.col("a.w") == F.col("b.w")))
-    fine = fine.select("a.s", "a.f", (F.col("start") + F.col("inside")).alias("_start"))
+    fine = fine.select("a.s", "a.f", (F.col("start") + F.col("inside")).alias("__mix_start"))
     goal = goal.select(F.col("source").alias("s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    fine = fine.alias("a").join(goal.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s"))).select(F.col("a.s").alias("_s"), F.col("f").alias("_f"), "_start", "_source_size", "_target")
-    running = Window.partitionBy(source_col, "_fine").orderBy("_key", id_col, "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(running), F.lit(0)))
-    rows = rows.join(fine, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_fine") == F.col("_f")))
+    fine = fine.alias("a").join(goal.alias("b"), F.col("a.s").eqNullSafe(F.col("b.s"))).select(F.col("a.s").alias("__mix_s"), F.col("f").alias("__mix_f"), "__mix_start", "_source_size", "_target")
+    running = Window.partitionBy(source_col, "__mix_fine").orderBy("__mix_key", id_col, "__mix_tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__mix_inside", F.coalesce(F.sum("_size").over(running), F.lit(0)))
+    rows = rows.join(fine, F.col(source_col).eqNullSafe(F.col("__mix_s")) & (F.col("__mix_fine") == F.col("__mix_f")))
     budget = F.round("_target").cast("long")
     epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.greatest("_source_size", F.lit(1)))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("_source_size")
-    part = F.greatest(F.lit(0), F.least("_size", rest - F.col("_start") - F.col("_inside")))
+    part = F.greatest(F.lit(0), F.least("_size", rest - F.col("__mix_start") - F.col("__mix_inside")))
     taken = (epochs * F.col("_size") + part).cast("long")
-    return rows.withColumn("_taken", taken).drop("_key", "_tie", "_wide", "_fine", "_inside", "_start", "_s", "_f")
+    return rows.withColumn("_taken", taken).drop("__mix_key", "__mix_tie", "__mix_wide", "__mix_fine", "__mix_inside", "__mix_start", "__mix_s", "__mix_f")
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:

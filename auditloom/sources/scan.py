@@ -125,7 +125,7 @@ def file_metadata(lines: DataFrame, own: Column, sample: int = 100) -> DataFrame
         F.max(F.col("value").rlike(r",\s*$")).alias("trailing_comma"),
         F.max(records.is_cdm(F.col("value"))).alias("wrapped"),
     )
-    case = F.when(~F.col("any"), F.lit(None)).when(F.col("lower") & F.col("upper"), "mixed").when("lower", "lower").when("upper", "upper").otherwise("no_alpha_hex")
+    case = F.when(~F.col("any"), F.lit(None)).when(F.col("lower") & F.col("upper"), "mixed").when(F.col("lower"), "lower").when(F.col("upper"), "upper").otherwise("no_alpha_hex")
     one = F.when(F.size("sources") == 1, F.get("sources", F.lit(0))).when(F.size("sources") > 1, F.concat(F.lit("mixed:"), F.array_join("sources", ",")))
     return per.withColumns({"uuid_case": case, "source": one}).drop("lower", "upper", "any", "sources")
 

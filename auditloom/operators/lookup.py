@@ -121,3 +121,28 @@ def resolve_chain(nodes: DataFrame, node: str, parent: str, stop: Column, depth:
 def process_map(lookup: DataFrame, depth: int = 10) -> DataFrame:
     """Threads and units to the process that they belong to."""
     return resolve_chain(lookup.where("role = 'PROCESS'"), "uuid", "parent_uuid", F.col("types_raw").contains("SUBJECT_PROCESS"), depth)
+
+
+def host_metadata(lines: DataFrame, order: list[str]) -> DataFrame:
+    """Host records: name, kind, system and interfaces of each, the last line's where they repeat."""
+    from ..functions.records import datum
+
+    rows = lines.withColumn("_json", datum(F.col("value"))).where(record_type(F.col("_json")) == "Host").withColumn("_r", record_body(F.col("_json")))
+    r = F.col("_r")
+    listed = F.from_json(F.coalesce(field(r, "interfaces.array"), field(r, "interfaces")), "array<struct<name:string,macAddress:string,ipAddresses:string>>")
+    address = lambda i: F.coalesce(F.from_json(F.get_json_object(i["ipAddresses"], "$.array"), "array<string>"), F.from_json(i["ipAddresses"], "array<string>"))
+    faces = F.transform(listed, lambda i: F.struct(i["name"].alias("name"), i["macAddress"].alias("macAddress"), address(i).alias("ipAddresses")))
+    rows = rows.select(*order, F.upper(field(r, "uuid")).alias("uuid"), field(r, "hostName").alias("host_name"), field(r, "hostType").alias("host_type"), unwrap(r, "osDetails", "string").alias("os_details"), faces.alias("interfaces"))
+    names = ["host_name", "host_type", "os_details", "interfaces"]
+    return rows.groupBy("uuid").agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in names])
+
+
+def principal_metadata(lines: DataFrame, order: list[str]) -> DataFrame:
+    """Principal records: user id and name and groups of each."""
+    from ..functions.records import datum
+
+    rows = lines.withColumn("_json", datum(F.col("value"))).where(record_type(F.col("_json")) == "Principal").withColumn("_r", record_body(F.col("_json")))
+    r = F.col("_r")
+    groups = F.from_json(F.coalesce(field(r, "groupIds.array"), field(r, "groupIds")), "array<string>")
+    rows = rows.select(*order, F.upper(field(r, "uuid")).alias("uuid"), unwrap(r, "userId", "string").alias("user_id"), unwrap(r, "username", "string").alias("username"), groups.alias("group_ids"))
+    return rows.groupBy("uuid").agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in ("user_id", "username", "group_ids")])

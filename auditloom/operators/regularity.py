@@ -63,11 +63,12 @@ class ActivityFloorFilter(NodeFilter):
 
     def keep(self, stats: DataFrame, by: list[str]) -> DataFrame:
         floor: Column = F.lit(max(1, self.min_events or 1)).cast("long")
+        if not by:
+            return self.keep(stats.withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
         if self.quantile is None:
             return stats.where(F.col("degree") >= floor)
         limits = stats.groupBy(*by).agg(F.greatest(floor, F.floor(F.percentile("degree", F.lit(self.quantile))).cast("long")).alias("_floor"))
-        rows = stats.join(limits, by) if by else stats.crossJoin(F.broadcast(limits))  # one row
-        return rows.where(F.col("degree") >= F.col("_floor")).drop("_floor")
+        return stats.join(limits, by).where(F.col("degree") >= F.col("_floor")).drop("_floor")
 
 
 class TopKFilter(NodeFilter):
@@ -97,18 +98,18 @@ def run_filters(events: DataFrame, filters: list[NodeFilter], by: list[str]) ->
     ``n_nodes`` of a filter's row is the size of the set that it keeps, even
     where a kept node has lost all its events.
     """
-    count = lambda rows, i, name: rows.agg(F.count("*").alias("n_events")).select(F.lit(i).alias("stage"), F.lit(name).alias("filter"), "n_events")
+    def count(rows: DataFrame, stage: int, name: str, what: str) -> DataFrame:
+        return rows.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), F.lit(name).alias("filter"), F.lit(what).alias("what"), "n")
+
     stats = node_stats(events, *by)
-    tables = [(count(events, 0, "raw"), stats.agg(F.count("*").alias("n_nodes")))]
+    counts = count(events, 0, "raw", "events").union(count(stats, 0, "raw", "nodes"))
     for i, f in enumerate(filters, 1):
         kept = f.keep(stats, by)
         events = keep_nodes(events, kept, by)
-        tables.append((count(events, i, f.describe()), kept.agg(F.count("*").alias("n_nodes"))))
+        counts = counts.union(count(events, i, f.describe(), "events")).union(count(kept, i, f.describe(), "nodes"))
         stats = node_stats(events, *by)
-    funnel = None
-    for a, b in tables:
-        row = a.crossJoin(b)  # one row each
-        funnel = row if funnel is None else funnel.union(row)
+    of = lambda what: F.max(F.when(F.col("what") == what, F.col("n"))).alias(f"n_{what}")
+    funnel = counts.groupBy("stage", "filter").agg(of("events"), of("nodes"))
     return events, funnel
 
 

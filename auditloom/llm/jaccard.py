@@ -6,8 +6,10 @@ sets of similarity ``t`` share one at least. Columns are ordered by the rarest
 of their words (from a word-count sketch of fixed size over the whole corpus)
 and then by hash, so common wording stays out of the prefixes.
 
-* A column that few documents have pairs them all; sizes that can't reach the
-  bound are dropped, and overlaps are counted on the whole sets.
+* A column that few documents have pairs them all. Sizes that can't reach the
+  bound are dropped, then pairs whose overlap can't: the smaller counts of
+  ``CELLS`` hash cells add up to no less than it. Overlaps of the others are
+  counted on the whole sets.
 * A column that many have first pairs each with one of similar size. Where that
   leaves several components, documents connected by such columns are dealt
   into blocks by size, and the products of blocks accumulate exact overlaps of
@@ -29,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
+from .sketch import cell, count_cells
 from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_slices
 
-#: Counters of the word sketch, and the pieces that it travels in.
-SKETCH, PIECES = 1 << 18, 64
 #: Documents of a column up to which all its pairs are compared.
 FEW = 48
 #: Documents and shingles of a block, on average.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
+#: Hash cells whose counts bound an overlap.
+CELLS = 128
 #: Columns that a dense product takes at a time.
 STRIP = 4096
 
@@ -44,33 +47,11 @@ STRIP = 4096
 def word_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """How common each sketch cell's words are, as half binary logarithms of counts over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                cells = split_words(data, offsets, lower=True).hash >> U64(46)
-                total += np.bincount(cells.astype(np.int64), minlength=SKETCH)
-        yield _pieces(total, range(PIECES))
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(packed, np.int64)
-        if sums:
-            yield _pieces(np.concatenate([sums[p] for p in sorted(sums)]), sorted(sums))
+    def words(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in text_slices(batch.column(0)):
+            yield split_words(data, offsets, lower=True).hash
 
-    kind = "piece int, counts binary"
-    counted = docs.select(text_col).mapInArrow(count, kind).repartition(PIECES, "piece").mapInArrow(add, kind)
-    total = np.zeros((PIECES, SKETCH // PIECES), np.int64)
-    for row in counted.collect():  # PIECES rows, two megabytes
-        total[row["piece"]] += np.frombuffer(row["counts"], np.int64)
-    return np.floor(2 * np.log2(total.ravel() + 1)).astype(np.uint8)
-
-
-def _pieces(counts: np.ndarray, names) -> pa.RecordBatch:
-    parts = counts.reshape(len(names), -1)
-    return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["piece", "counts"])
+    return np.floor(2 * np.log2(count_cells(docs.select(text_col), words) + 1)).astype(np.uint8)
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -87,7 +68,7 @@ def shingle_sets(words: Words, n: int, ranks: np.ndarray | None = None) -> Itera
     grams = gram_hashes(words.hash, n)
     common = None
     if ranks is not None:
-        word = ranks[(words.hash >> U64(46)).astype(np.int64)]
+        word = ranks[cell(words.hash)]
         common = word[: len(grams)].copy()
         for i in range(1, n):
             np.minimum(common, word[i : len(grams) + i], out=common)
@@ -103,12 +84,12 @@ def shingle_sets(words: Words, n: int, ranks: np.ndarray | None = None) -> Itera
 
 
 def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """``id, n, f1, f2, prefix``: size, 128-bit fingerprint and prefix columns of each row's set."""
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # SKETCH bytes
+    """``id, n, f1, f2, prefix, cells``: size, 128-bit fingerprint, prefix columns and cell counts of each row's set."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte for each sketch cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, f1, f2, prefix = [], [], [], []
+            size, f1, f2, prefix, cells = [], [], [], [], []
             for _, _, data, offsets in text_slices(batch.column(1)):
                 for s, r in shingle_sets(split_words(data, offsets, lower=True), n, shared.value):
                     size.append(len(s))
@@ -116,10 +97,11 @@ def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> Dat
                     f2.append(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64))
                     order = np.lexsort((s, r))[: prefix_size(len(s), num, den)]
                     prefix.append(as_long(s[order]))
+                    cells.append(np.bincount((s & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
             f1, f2 = (pa.array(as_long(np.array(f, U64)), pa.int64()) for f in (f1, f2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), f1, f2, pa.array(prefix, pa.list_(pa.int64()))], ["id", "n", "f1", "f2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), f1, f2, pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["id", "n", "f1", "f2", "prefix", "cells"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>, cells binary")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -137,6 +119,20 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s binary")
 
 
+def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs ``a, b`` that link unless their overlap stays below its upper bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
+            most = np.minimum(x, y).sum(1)
+            yield batch.select(["a", "b"]).filter(pa.array(den * most >= num * (x.sum(1) + y.sum(1) - most)))
+
+    left = cells.select(F.col("id").alias("a"), F.col("cells").alias("ca"))
+    right = cells.select(F.col("id").alias("b"), F.col("cells").alias("cb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Those of the pairs ``a, b`` that link, by their whole sets."""
 
@@ -273,7 +269,6 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     postings = kept.select("id", "n", F.explode("prefix").alias("col"))
     often = postings.groupBy("col").agg(F.count("*").alias("m")).where("m > 1")
     postings = materialize(postings.join(often, "col"), "ngram-postings")
-    sets = materialize(_sets(texts.join(postings.select("id").distinct(), "id").select("id", "text"), n), "ngram-sets")
     few = postings.where(F.col("m") <= FEW).select("col", "id", "n")
     other = few.select("col", F.col("id").alias("b"), F.col("n").alias("nb"))
     close = (den * F.least("n", "nb") >= num * F.greatest("n", "nb")) & (F.col("id") < F.col("b"))
@@ -283,7 +278,10 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     leaders = hot.groupBy("col", band.alias("band")).agg(F.min(F.struct("id", "n")).alias("x")).select("col", "band", F.col("x.id").alias("b"), F.col("x.n").alias("nb"))
     near = hot.withColumn("band", band).join(leaders, ["col", "band"])
     near = near.where((den * F.least("n", "nb") >= num * F.greatest("n", "nb")) & (F.col("id") != F.col("b"))).select(F.col("b").alias("a"), F.col("id").alias("b"))
-    links = materialize(_verify(pairs.union(near).distinct(), sets, num, den), "ngram-links")
+    pairs = materialize(_may_link(pairs.union(near).distinct(), kept.select("id", "cells"), num, den), "ngram-pairs")
+    needed = pairs.select("a").union(pairs.select("b")).union(hot.select("id")).distinct().withColumnRenamed("a", "id")
+    sets = materialize(_sets(texts.join(needed, "id").select("id", "text"), n), "ngram-sets")
+    links = materialize(_verify(pairs, sets, num, den), "ngram-links")
     reached = connected_components(links)
     if not hot.isEmpty():
         more = materialize(_links_in_blocks(hot.select("col", "id"), reached, sets, num, den), "ngram-links")

@@ -13,9 +13,12 @@ words, by 64-bit fingerprints beside the 64-bit anchor.
   128-bit fingerprints.
 
 Overlapping repeats merge into maximal ones, and their words are removed.
-Anchors are joined by aggregates with map-side combination and by joins that
-Spark can split, so an anchor that a third of the documents share is no hot
-spot, and no pairs of documents are formed.
+
+Occurrences meet by anchor in one exchange, as a window. That holds for anchors
+of bounded frequency; a sketch of fixed size over the whole corpus tells which
+hash cells may hold frequent ones, and those meet through an aggregate with
+map-side combination and a join that Spark can split. No pairs of documents
+are formed either way.
 """
 
 from __future__ import annotations
@@ -25,16 +28,30 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .sketch import cell, count_cells
 from .textkit import Spans, Words, as_long, gram_hashes, split_words, text_slices, window_minimum
 
 #: Words of an anchor.
-ANCHOR = 5
-RUNS = "array<struct<s:int,c:int>>"
-_RUNS = pa.list_(pa.struct([("s", pa.int32()), ("c", pa.int32())]))
+ANCHOR = 7
+#: A cell is frequent from this many times the mean count, plus this many.
+FREQUENT_TIMES, FREQUENT_PLUS = 4, 1000
+# A run in one long: version of the text, first window, number of windows.
+_VERSION, _START = 40, 4
+LONGS = pa.list_(pa.int64())
+
+
+def _pack(version: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return version << _VERSION | start << _START | count
+
+
+def _unpack(runs: np.ndarray, version: int) -> tuple[np.ndarray, np.ndarray]:
+    runs = runs[runs >> _VERSION == version]
+    return runs >> _START & (1 << _VERSION - _START) - 1, runs & (1 << _START) - 1
 
 
 def _runs(words: Words, length: int) -> tuple[np.ndarray, ...]:
@@ -49,25 +66,47 @@ def _runs(words: Words, length: int) -> tuple[np.ndarray, ...]:
         empty = np.zeros(0, np.int64)
         return grams[:0], empty, empty, empty
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
-    return grams[at[first]], start[first], np.diff(np.append(first, len(start))), doc[first]
+    count = np.diff(np.append(first, len(start)))
+    # A run that is longer than its field (equal words all along) goes in pieces.
+    most = (1 << _START) - 1
+    pieces = -(-count // most)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first, count = np.repeat(first, pieces), np.repeat(count, pieces)
+    return grams[at[first]], start[first] + nth * most, np.minimum(count - nth * most, most), doc[first]
 
 
-def _occurrences(texts: DataFrame, length: int) -> DataFrame:
-    """``a, r, id, k, s, c``: anchor, fingerprint of its extended run, document, first window and windows."""
+def _occurrences(texts: DataFrame, length: int, frequent: np.ndarray, wanted: bool) -> DataFrame:
+    """``a, r, id, p``: anchor, fingerprint of its extended run, document and packed run; of frequent cells or of the others."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # a byte for each sketch cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ks = (batch.column(i).to_numpy() for i in (0, 1))
+            ids, versions = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             for first, _, data, offsets in text_slices(batch.column(2)):
                 words = split_words(data, offsets)
                 if len(words.hash) < length:
                     continue
                 anchor, s, c, doc = _runs(words, length)
+                mine = shared.value[cell(anchor)] == wanted
+                anchor, s, c, doc = anchor[mine], s[mine], c[mine], doc[mine]
                 extended = Spans(words.hash)(s, s + c - 1 + length)
-                columns = [as_long(anchor), as_long(extended), ids[first + doc], ks[first + doc], (s - words.bounds[doc]).astype(np.int32), c.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "r", "id", "k", "s", "c"])
+                columns = [as_long(anchor), as_long(extended), ids[first + doc], _pack(versions[first + doc], s - words.bounds[doc], c)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "r", "id", "p"])
+
+    return texts.where("id is not null").mapInArrow(run, "a long, r long, id long, p long")
 
-    return texts.where("id is not null").mapInArrow(run, "a long, r long, id long, k long, s int, c int")
+
+def _frequent_cells(texts: DataFrame, length: int) -> np.ndarray:
+    """Whether each cell may hold an anchor of more occurrences than a window should gather."""
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in text_slices(batch.column(0)):
+            words = split_words(data, offsets)
+            if len(words.hash) >= length:
+                yield _runs(words, length)[0]
+
+    counts = count_cells(texts.select("text"), anchors)
+    return counts > FREQUENT_TIMES * counts.mean() + FREQUENT_PLUS
 
 
 def _covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -78,31 +117,31 @@ def _covered(n: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.
     return np.cumsum(edge[:-1]) > 0
 
 
-def _columns_of(runs: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-    lo, hi = runs.offsets[i].as_py(), runs.offsets[i + 1].as_py()
-    part = runs.values.slice(lo, hi - lo)
-    return tuple(np.asarray(part.field(x)).astype(np.int64) for x in (0, 1))
+def _list(column: pa.Array, i: int) -> np.ndarray:
+    value = column[i].values
+    return np.zeros(0, np.int64) if value is None else np.asarray(value)
 
 
-def _kept(words: Words, doc: int, gone: np.ndarray) -> str:
-    raw, left = words.data.data, np.flatnonzero(~gone) + words.bounds[doc]
-    return b" ".join([raw[a:b] for a, b in zip(words.start[left].tolist(), words.end[left].tolist(), strict=True)]).decode()
+def _unzip(column: pa.Array) -> pa.Array:
+    read = zstandard.ZstdDecompressor().decompress
+    return pa.array([read(z).decode() for z in column.to_pylist()], pa.large_string())
 
 
-def _results(batch: pa.RecordBatch, length: int, with_text: bool) -> tuple[list, list, list]:
-    """Words, removed words and kept text (or its digest) of each row; columns ``text`` and ``gone``."""
+def _results(texts: pa.Array, versions: list[int], gone: pa.Array, length: int, with_text: bool) -> tuple[list, list, list]:
+    """Words, removed words and kept text (or its digest) of each row."""
     n_words, n_removed, kept = [], [], []
-    texts, gone = batch.column("text"), batch.column("gone").fill_null([])
     for first, last, data, offsets in text_slices(texts):
         words = split_words(data, offsets)
+        raw = words.data.data
         for i in range(last - first):
-            n = int(words.bounds[i + 1] - words.bounds[i])
-            s, c = _columns_of(gone, first + i)
-            cover = _covered(n, s, c, length) if len(s) else np.zeros(n, bool)
-            text = _kept(words, i, cover)
-            n_words.append(n)
+            lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
+            s, c = _unpack(_list(gone, first + i), versions[first + i])
+            cover = _covered(hi - lo, s, c, length)
+            left = np.flatnonzero(~cover) + lo
+            text = b" ".join([raw[a:b] for a, b in zip(words.start[left].tolist(), words.end[left].tolist(), strict=True)])
+            n_words.append(hi - lo)
             n_removed.append(int(cover.sum()))
-            kept.append(text if with_text else sha256(text.encode()).hexdigest())
+            kept.append(text.decode() if with_text else sha256(text).hexdigest())
     return n_words, n_removed, kept
 
 
@@ -116,76 +155,79 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     by one space. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Ids that come with different texts need the text's hash to tell their rows apart; others carry zero.
+    # Different texts of one id are told apart by a version; as a rule there are none.
     twice = texts.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y")).where("x <> y").select("id")
-    if twice.isEmpty():
-        texts = texts.withColumn("k", F.lit(0).cast("long"))
+    version = F.lit(0)
+    if not twice.isEmpty():
+        texts = materialize(texts.join(twice.withColumn("twice", F.lit(True)), "id", "left"), "repeat-texts")
+        rank = F.dense_rank().over(Window.partitionBy("id").orderBy("text")) - 1
+        many = texts.where("twice").withColumn("v", rank.cast("int")).select("id", "v", "text")
+        texts = texts.where("twice is null").select("id", version.alias("v"), "text").union(many)
     else:
-        texts = texts.join(twice.withColumn("twice", F.lit(True)), "id", "left").withColumn("k", F.when("twice", F.xxhash64("text")).otherwise(0)).drop("twice")
-    texts = texts.select("id", "k", "text")
-    occurrences = _occurrences(texts, length)
-    seeds = occurrences.groupBy("a").agg(F.min("id").alias("m"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = occurrences.select("a", "id", "k", "s", "c").join(seeds, "a")
-    shared = shared.select("id", "k", "s", "c", (F.col("r0") != F.col("r1")).alias("open"), "m").where("open or id > m")
-    of = lambda cond: F.collect_list(F.when(cond, F.struct("s", "c")))
-    shared = shared.groupBy("id", "k").agg(of(~F.col("open")).alias("gone"), of(F.col("open")).alias("open"))
+        texts = texts.select("id", version.alias("v"), "text")
+    frequent = _frequent_cells(texts, length)
+    opened = F.col("r0") != F.col("r1")
+    meet = Window.partitionBy("a")
+    rare = _occurrences(texts, length, frequent, False).withColumns({"m": F.min("id").over(meet), "r0": F.min("r").over(meet), "r1": F.max("r").over(meet)})
+    often = _occurrences(texts, length, frequent, True)
+    seeds = often.groupBy("a").agg(F.min("id").alias("m"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+    often = often.select("a", "id", "p").join(seeds, "a")
+    found = rare.select("id", "p", opened.alias("open"), "m").union(often.select("id", "p", opened, "m")).where("open or id > m")
+    found = found.groupBy("id").agg(F.collect_list(F.when(~F.col("open"), F.col("p"))).alias("gone"), F.collect_list(F.when(F.col("open"), F.col("p"))).alias("open"))
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            zipped = pa.array([write(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), zipped], ["id", "v", "z"])
+
+    fields = "id long, v int, z binary, gone array<long>, open array<long>, n_words long, n_removed long, kept string"
+    names = [f.split()[0] for f in fields.split(", ")]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            waits = np.array([bool(n) for n in batch.column("open").fill_null([]).value_lengths().to_pylist()], bool)
-            done = pa.array(~waits)
-            ready, waiting = batch.filter(done), batch.filter(pa.array(waits))
-            for part, settled in ((ready, True), (waiting, False)):
+            opened, versions = batch.column("open"), batch.column("v").to_pylist()
+            waits = np.array([len(_unpack(_list(opened, i), v)[0]) > 0 for i, v in enumerate(versions)], bool)
+            for part, settled in ((batch.filter(pa.array(~waits)), True), (batch.filter(pa.array(waits)), False)):
                 n = part.num_rows
                 if not n:
                     continue
-                results = _results(part, length, with_text) if settled else ([None] * n, [None] * n, [None] * n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(c) for c in ("id", "k")),
-                        pa.nulls(n, pa.string()) if settled else part.column("text"),
-                        pa.nulls(n, _RUNS) if settled else part.column("gone").cast(_RUNS),
-                        pa.nulls(n, _RUNS) if settled else part.column("open").cast(_RUNS),
-                        *(pa.array(x, t) for x, t in zip(results, (pa.int64(), pa.int64(), pa.string()), strict=True)),
-                    ],
-                    ["id", "k", "text", "gone", "open", "n_words", "n_removed", "kept"],
-                )
+                results = _results(_unzip(part.column("z")), part.column("v").to_pylist(), part.column("gone"), length, with_text) if settled else ([None] * n,) * 3
+                carried = [pa.nulls(n, t) if settled else part.column(c).cast(t) for c, t in (("z", pa.binary()), ("gone", LONGS), ("open", LONGS))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), *carried, *(pa.array(x, t) for x, t in zip(results, (pa.int64(), pa.int64(), pa.string()), strict=True))], names)
 
     # One pass over the texts settles all but those with open runs, which go on with their text.
-    fields = f"id long, k long, text string, gone {RUNS}, open {RUNS}, n_words long, n_removed long, kept string"
-    state = texts.join(shared, ["id", "k"], "left").select("id", "k", "text", "gone", "open").mapInArrow(settle, fields)
-    state = materialize(state, "repeats")
-    waiting = state.where("text is not null").select("id", "k", "text", "gone", "open")
+    zipped = texts.mapInArrow(shrink, "id long, v int, z binary")
+    state = materialize(zipped.join(found, "id", "left").select("id", "v", "z", "gone", "open").mapInArrow(settle, fields), "repeats")
+    waiting = state.where("z is not null").select("id", "v", "z", "gone", "open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ks, opened = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            for first, last, data, offsets in text_slices(batch.column(2)):
+            ids, versions, opened = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(3)
+            for first, last, data, offsets in text_slices(_unzip(batch.column(2))):
                 words = split_words(data, offsets)
-                spans = Spans(words.hash)
-                places, owner = [], []
+                spans, places, owner = Spans(words.hash), [], []
                 for i in range(last - first):
-                    s, c = _columns_of(opened, first + i)
-                    at = np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    places.append(at)
-                    owner.append(np.full(len(at), i))
+                    s, c = _unpack(_list(opened, first + i), versions[first + i])
+                    places.append(np.repeat(s, c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))
+                    owner.append(np.full(len(places[-1]), i))
                 place, owner = np.concatenate(places), np.concatenate(owner)
                 start = place + words.bounds[owner]
-                columns = [as_long(spans(start, start + length, x)) for x in (0, 1)]
-                columns += [ids[first + owner], ks[first + owner], place.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "id", "k", "s"])
+                mine = _pack(np.array(versions, np.int64)[first + owner], place, 1)
+                columns = [*(as_long(spans(start, start + length, x)) for x in (0, 1)), ids[first + owner], mine]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "id", "p"])
 
-    opened = materialize(waiting.select("id", "k", "text", "open").mapInArrow(windows, "w1 long, w2 long, id long, k long, s int"), "repeat-windows")
-    least = opened.groupBy("w1", "w2").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n")
-    more = opened.join(least, ["w1", "w2"]).where("id > m").select("id", "k", "s")
-    more = more.groupBy("id", "k").agg(F.collect_list(F.struct("s", F.lit(1).alias("c"))).alias("more"))
-    waiting = waiting.join(more, ["id", "k"], "left").select("id", "text", F.concat(F.coalesce("gone", F.array().cast(RUNS)), F.coalesce("more", F.array().cast(RUNS))).alias("gone"))
+    pieces = waiting.select("id", "v", "z", "open").mapInArrow(windows, "w1 long, w2 long, id long, p long")
+    least = pieces.groupBy("w1", "w2").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").drop("x")
+    more = pieces.join(least, ["w1", "w2"]).where("id > m").groupBy("id").agg(F.collect_list("p").alias("more"))
+    none = F.array().cast("array<long>")
+    waiting = waiting.join(more, "id", "left").select("id", "v", "z", F.concat(F.coalesce("gone", none), F.coalesce("more", none)).alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = _results(batch, length, with_text)
+            results = _results(_unzip(batch.column("z")), batch.column("v").to_pylist(), batch.column("gone"), length, with_text)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, t) for x, t in zip(results, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["id", "n_words", "n_removed", "kept"])
 
     ended = waiting.mapInArrow(finish, "id long, n_words long, n_removed long, kept string")
-    out = state.where("text is null").select("id", "n_words", "n_removed", "kept").union(ended)
+    out = state.where("z is null").select("id", "n_words", "n_removed", "kept").union(ended)
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept" if with_text else "kept_sha256"))

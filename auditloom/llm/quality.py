@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
 from .textkit import gram_hashes, split_words, text_slices
 
 #: Most documents of either kind that the model is fitted on.
@@ -168,10 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col("doc_id").alias("_id"), "quality").where(F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("_id")))
     seen = known.agg(F.avg("quality")).first()[0]
     prior = min(max(0.5 if seen is None else float(seen), 0.05), 0.95)
-    least = lambda rows, n: rows.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
-    chosen = least(known.where("quality = 1"), POSITIVES).withColumn("_kind", F.lit(1)).union(
-        least(docs.select(F.col(id_col).alias("_id")).where("_id is not null"), UNLABELLED).withColumn("_kind", F.lit(0))
-    )
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
+    trusted = known.where("quality = 1").select("_id")
+    chosen = least_hashed(trusted, "_id", POSITIVES).withColumn("_kind", F.lit(1)).union(least_hashed(ids, "_id", UNLABELLED).withColumn("_kind", F.lit(0)))
     chosen = chosen.groupBy("_id").agg(F.max("_kind").alias("_positive"), F.min("_kind").alias("_least"))
     # At most POSITIVES + UNLABELLED ids: a proven bound for the broadcast.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_positive", "_least", "_text")

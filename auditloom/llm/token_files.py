@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_alphabet
-from .common import shared_dir
+from .common import least_hashed, shared_dir
 from .pretokens import ChunkEncoder, packed
 
 MAGIC = b"ALTK1"
@@ -121,7 +121,8 @@ def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"))
+    # The dictionary only shapes the compression; the start of a sampled text will do.
+    sample = least_hashed(rows, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"))
     encode, width = library_encoder(path), 2 if _largest_id(path) < 1 << 16 else 4
     serialized = [np.frombuffer(encode(r["text"]), "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS rows at most
     dictionary = train_dictionary(serialized)

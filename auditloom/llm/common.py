@@ -32,13 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, below one folder of this application that goes when its driver ends."""
+    base = f"{shared_dir(spark)}/auditloom-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import os
 import struct
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_alphabet
-from .common import least_hashed, shared_dir
+from .common import least_hashed, temporary_path
 from .pretokens import ChunkEncoder, packed
 
 MAGIC = b"ALTK1"
@@ -202,7 +201,7 @@ def read_token_files(spark: SparkSession, where: str, fields: str = "doc_id long
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Write ``docs`` to token files, read them back, and digest each document's ids."""
     spark = docs.sparkSession
-    where = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    where = temporary_path(spark, "tokens")
     write_token_files(docs, path, where)
     row = lambda doc_id, start, ids: (doc_id, start, len(ids), crc32(ids.astype("<u4").tobytes()))
     return read_token_files(spark, where, "doc_id long, start long, n_tokens long, ids_crc32 long", row)

@@ -286,7 +286,8 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     if not hot.isEmpty():
         more = materialize(_links_in_blocks(hot.select("col", "id"), reached, sets, num, den), "ngram-links")
         if not more.isEmpty():
-            reached = connected_components(links.union(more))
+            stars = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            reached = connected_components(stars.union(more))
     joined = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     joined = joined.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     linked = sound.join(joined, ["f1", "f2", "n"]).select("id", "n", "component")

@@ -20,6 +20,7 @@ from .lookup import resolve_chain
 REGIMES = ("periodic", "bursty", "aperiodic", "noise")
 THRESHOLD = 0.3
 MAX_NODES = 10_000
+RANKS = list(range(1, 15))
 CORE_LEAST = 50.0
 BLOCK_BINS = 5
 

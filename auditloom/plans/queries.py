@@ -576,11 +576,11 @@ def set_counts(spark, sf_dir):
 
 @register()
 def ntf_components(spark, sf_dir):
-    """N-02 to N-09: components of each host's tensor, from its nodes of most degree."""
-    events = regularity.cap_nodes(_tensor_events(spark, sf_dir), ["host_id"], 200)
+    """N-02 to N-09: components of each host's tensor, by the sweep over ranks 1 to 14 (``DEFAULT_R_RANGE`` of the host sweep)."""
+    events = regularity.cap_nodes(_tensor_events(spark, sf_dir), ["host_id"])
     cells = regularity.tensor_cells(events, "host_id")
-    table = regularity.sweep(cells, [1, 2, 3], starts=2, max_iter=40)
-    return regularity.components(cells, regularity.select_rank(table), starts=2, max_iter=40)
+    table = regularity.sweep(cells, regularity.RANKS)
+    return regularity.components(cells, regularity.select_rank(table))
 
 
 @register()

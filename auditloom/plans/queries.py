@@ -583,18 +583,20 @@ def ntf_components(spark, sf_dir):
     return regularity.components(cells, regularity.select_rank(table))
 
 
+def _rw_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volume.rw_collapse(_cube(spark, sf_dir, DAY), ["view"], ["purchase"])
+
+
 @register()
 def hmm_best_k(spark, sf_dir):
     """N-15, N-16."""
-    cube = volume.rw_collapse(_daily(spark, sf_dir).withColumn("host_id", F.lit("fleet")), ["view"], ["purchase"])
-    return regimes.best_order(cube, DAY, k_max=4, classes=6, restarts=2)
+    return regimes.best_order(_rw_days(spark, sf_dir), DAY)
 
 
 @register()
 def hmm_states(spark, sf_dir):
-    """N-17."""
-    cube = volume.rw_collapse(_daily(spark, sf_dir).withColumn("host_id", F.lit("fleet")), ["view"], ["purchase"])
-    return regimes.decode_states(cube, 2, classes=6, restarts=2)
+    """N-17: days of each host under its best model of two states."""
+    return regimes.decode_states(_rw_days(spark, sf_dir), 2)
 
 
 @register()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize, shared_dir, temporary_path  # noqa: F401
+
 #: Rows of one Arrow batch sent to Python; texts are long, so batches are short.
 ARROW_ROWS = 400
 
@@ -17,43 +16,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a local
-    temporary folder takes its place.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="auditloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def temporary_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, below one folder of this application that goes when its driver ends."""
-    base = f"{shared_dir(spark)}/auditloom-{spark.sparkContext.applicationId}"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        files.mkdirs(folder)
-        files.deleteOnExit(folder)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = temporary_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
     """At most ``n`` rows, those whose ``column`` hashes least: a sample that reruns agree on.
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from .lookup import resolve_chain
 
 #: Regimes in their order, thresholds and limits.
@@ -119,24 +120,44 @@ def cap_nodes(events: DataFrame, by: list[str], most: int = MAX_NODES) -> DataFr
     return keep_nodes(events, TopKFilter(most).keep(node_stats(events, *by), by), by)
 
 
-def collapse_ephemeral(events: DataFrame, lookup: DataFrame, min_bins: int, depth: int = 8) -> tuple[DataFrame, DataFrame]:
+def climb(up: DataFrame) -> DataFrame:
+    """Follow ``node, target`` (one row a node) to the top of each chain; a loop's top is its least node.
+
+    Doubling: after k rounds a pointer has gone 2**k steps up, or stands at its
+    top. Nodes that still climb get fewer each round until only those below or
+    in a loop are left. Their count bounds the steps that reach and go round it.
+    """
+    up = materialize(up.withColumn("least", F.col("target")), "climb")
+    steps, before = 1, None
+    while True:
+        climbing = up.join(up.select(F.col("node").alias("target")), "target", "left_semi").count()
+        if not climbing:
+            return up.select("node", "target")
+        if climbing == before and steps >= climbing:
+            break
+        step = up.select(F.col("node").alias("_n"), F.col("target").alias("_t"), F.col("least").alias("_l"))
+        rows = up.join(step, F.col("target") == F.col("_n"), "left")
+        up = materialize(rows.select("node", F.coalesce("_t", "target").alias("target"), F.least("least", "_l").alias("least")), "climb")
+        steps, before = 2 * steps, climbing
+    # Every pointer into a loop now stands in it, and there ``least`` has gone all round.
+    loops = up.select(F.col("node").alias("_n"), F.col("least").alias("_l"))
+    return up.join(loops, F.col("target") == F.col("_n"), "left").select("node", F.coalesce("_l", "target").alias("target"))
+
+
+def collapse_ephemeral(events: DataFrame, lookup: DataFrame, min_bins: int) -> tuple[DataFrame, DataFrame]:
     """N-13, J-04: short-lived processes become their first lasting ancestor in the slice.
 
     ``lookup`` has ``node, parent, role``. Parents outside the slice end a
-    chain; a chain of ephemeral ones is followed to its top, by pointer
-    doubling, which ends on loops too. Rewritten loops go. Returns the events
-    and the map ``node, target``.
+    chain; a chain of ephemeral ones is followed to its top, whatever its
+    length, by pointer doubling. Processes whose chain runs into a loop become
+    the loop's least node. Rewritten loops go. Returns the events and the map
+    ``node, target``.
     """
     stats = node_stats(events)
     nodes = stats.select("node", (F.col("n_bins") < min_bins).alias("short"))
     rows = lookup.where("role = 'PROCESS'").select("node", "parent").join(nodes, "node").where("short")
     rows = rows.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").where("parent <> node")
-    # Doubling: after k rounds a pointer has gone 2**k steps up.
-    up = rows.select("node", F.col("parent").alias("target"))
-    for _ in range(max(1, int(np.ceil(np.log2(max(depth, 2)))) + 2)):
-        step = up.select(F.col("node").alias("_n"), F.col("target").alias("_t"))
-        up = up.join(step, F.col("target") == F.col("_n"), "left").select("node", F.when(F.col("_t") != F.col("node"), F.col("_t")).otherwise(F.col("target")).alias("target"))
-    up = up.where("node <> target")
+    up = climb(rows.groupBy("node").agg(F.min("parent").alias("target"))).where("node <> target")
     for end in ("src", "dst"):
         m = up.select(F.col("node").alias("_n"), F.col("target").alias("_t"))
         events = events.join(m, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_t", end)).withColumn(f"_{end}", F.col("_t").isNotNull()).drop("_n", "_t")

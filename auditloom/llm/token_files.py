@@ -24,7 +24,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,10 @@ MAGIC = b"ALTK1"
 CONTAINER_BYTES = 1 << 18
 #: Stands for a null id in a container.
 NULL_ID = -(1 << 63)
-#: Documents that the dictionary is trained on (those with the least hashes), ids of each, and its size.
-SAMPLE_DOCS, SAMPLE_IDS, DICT_BYTES = 400, 4000, 64 << 10
+#: Documents that the dictionary is trained on (those with the least hashes), and its size.
+SAMPLE_DOCS, DICT_BYTES = 400, 64 << 10
+#: A sampled text of more characters than PIECES * PIECE_CHARS gives so many pieces at hashed positions, a shorter one all of it.
+PIECES, PIECE_CHARS = 8, 2000
 TABLE = "part int, before long, n_docs long, n_tokens long, data binary"
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -111,6 +113,24 @@ class Container:
         return np.frombuffer(self._reader.decompress(self.data[lo:hi]), f"<u{self.width}").astype("<u4")
 
 
+def sample_pieces(rows: DataFrame) -> DataFrame:
+    """``doc_id, text``: what the dictionary is trained on, from everywhere in the sampled texts.
+
+    At most SAMPLE_DOCS * PIECES * PIECE_CHARS characters. Each of PIECES equal
+    stretches of a long text gives one piece, at a place that its id hashes to.
+    """
+    n = F.length("text").cast("long")
+
+    def piece(i: Column) -> Column:
+        begin, end = F.floor(i * n / PIECES), F.floor((i + 1) * n / PIECES)
+        shift = F.pmod(F.xxhash64("doc_id", i), F.greatest(end - begin - PIECE_CHARS + 1, F.lit(1)))
+        return F.substr("text", (begin + shift + 1).cast("int"), F.lit(PIECE_CHARS))
+
+    long = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), piece)
+    pieces = F.when(n > PIECES * PIECE_CHARS, long).otherwise(F.array("text"))
+    return least_hashed(rows.select("doc_id", pieces.alias("pieces")), "doc_id", SAMPLE_DOCS).select("doc_id", F.explode("pieces").alias("text"))
+
+
 def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """Tokenize ``docs`` into containers under ``where``; returns the dictionary, also kept there.
 
@@ -120,10 +140,9 @@ def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # The dictionary only shapes the compression; the start of a sampled text will do.
-    sample = least_hashed(rows, "doc_id", SAMPLE_DOCS).select(F.substring("text", 1, 4 * SAMPLE_IDS).alias("text"))
+    # The dictionary only shapes the compression, so pieces of the sampled texts will do.
     encode, width = library_encoder(path), 2 if _largest_id(path) < 1 << 16 else 4
-    serialized = [np.frombuffer(encode(r["text"]), "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for r in sample.collect()]  # SAMPLE_DOCS rows at most
+    serialized = [np.frombuffer(encode(r["text"]), "<u4").astype(f"<u{width}").tobytes() for r in sample_pieces(rows).collect()]  # SAMPLE_DOCS * PIECES rows at most
     dictionary = train_dictionary(serialized)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

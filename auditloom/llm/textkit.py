@@ -3,7 +3,8 @@
 Words are maximal runs of bytes other than space and 0x09-0x0D; these are ASCII,
 so splitting UTF-8 bytes and splitting code points agree. Word and n-gram
 hashes are 64-bit; every hash is a pure function of the words, never of the
-document or the batch.
+document or the batch. Another seed gives another, independent hash, so two of
+them make 128 bits.
 """
 
 from __future__ import annotations
@@ -13,47 +14,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes of text that are handled together; a longer text is handled alone.
 SLICE_BYTES = 2 << 20
+#: Bytes up to which words are hashed side by side, eight bytes at a time; longer ones go one by one.
+LONG_WORD = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+#: Keeps the first n of eight little-endian bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _P, _Q = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every bit of ``x`` (a bijection of 64-bit values)."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
+    x = x * _Q
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
+    x = x * _Q
     return x ^ (x >> U64(32))
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, U64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, U64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                x = np.full(size, base, U64)
-                x[0] = 1
-                setattr(self, name, np.cumprod(x))
-        return self.up[:n], self.down[:n]
-
-
-_bytes_powers, _words_powers, _words_powers2 = _Powers(_P), _Powers(_Q), _Powers(U64(0xA0761D6478BD642F))
+def fold(state: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One step of a hash chain: a bijection of either argument, linear in neither."""
+    out = (state ^ x) * _P
+    out ^= out >> U64(29)
+    out *= _Q
+    return out ^ (out >> U64(32))
 
 
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,6 +83,33 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
+    def hashes(self, seed: int) -> np.ndarray:
+        """Another hash of each word."""
+        return word_hashes(self.data, self.start, self.end, seed)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span, chained over its bytes eight at a time."""
+    size = end - start
+    salt = (int(_P) * (2 * seed + 1)) & ((1 << 64) - 1)
+    out = mix(size.astype(U64) + U64(salt))
+    if not len(size):
+        return out
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    short = size <= LONG_WORD
+    at = np.arange(len(size)) if short.all() else np.flatnonzero(short)
+    for lane in range(0, int(size[at].max(initial=0)), 8):
+        if lane:
+            at = at[size[at] > lane]
+        left = np.minimum(size[at] - lane, 8)
+        out[at] = fold(out[at], eight[start[at] + lane] & _FIRST[left])
+    out = mix(out)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(padded[start[i] : end[i]], salt)
+    return out
+
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts ``data[offsets[i]:offsets[i + 1]]``."""
@@ -108,37 +127,29 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
     last = inner[inner > 0] - 1
     ends[last] = word[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _bytes_powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
-    return Words(data, start, end, h, np.searchsorted(start, offsets))
+    return Words(data, start, end, word_hashes(data, start, end), np.searchsorted(start, offsets))
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` consecutive words; the last ``n - 1`` places hold none."""
     if len(h) < n:
         return np.zeros(0, U64)
-    out = np.zeros(len(h) - n + 1, U64)
+    size = len(h) - n + 1
+    out = np.full(size, n, U64)
     for i in range(n):
-        out = out * _P + h[i : len(h) - n + 1 + i]
-    return mix(out + U64(n))
-
-
-class Spans:
-    """Hashes of any word spans, from prefix sums; two independent 64-bit values."""
-
-    def __init__(self, h: np.ndarray):
-        self.sums = []
-        for powers, salt in ((_words_powers, 1), (_words_powers2, 2)):
-            up, down = powers(len(h) + 1)
-            total = np.zeros(len(h) + 1, U64)
-            np.cumsum(mix(h + U64(salt)) * up[:-1], out=total[1:])
-            self.sums.append((total, down))
-
-    def __call__(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-        total, down = self.sums[which]
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
+        out = fold(out, h[i : size + i])
+    return mix(out)
+
+
+def span_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words of each span; spans are short."""
+    size = end - start
+    out = size.astype(U64)
+    at = np.arange(len(size))
+    for i in range(int(size.max(initial=0))):
+        at = at[size[at] > i]
+        out[at] = fold(out[at], h[start[at] + i])
+    return mix(out)
 
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:

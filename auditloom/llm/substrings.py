@@ -7,8 +7,8 @@ length goes without a seed. The windows of ``length`` words that choose one
 anchor form its run.
 
 **Join.** Occurrences meet by anchor in one exchange, which carries the anchor,
-a fingerprint of the run's words, and eight bits each of the words on its left
-and on its right.
+a fingerprint of the run's words, and 16 bits each of the words on its left and
+on its right.
 
 **Extend both ways.** Occurrences whose whole runs agree (anchor and run
 fingerprint, by independent hashes) are one class: every document but its least
@@ -96,7 +96,7 @@ def _runs(words: Words, length: int, wanted: np.ndarray | None, sought: bool) ->
     sides[0][has] = span_hashes(other, at[has] - left, at[has])
     has = length - k - offset + count - 1 >= right
     sides[1][has] = span_hashes(other, at[has] + k, at[has] + k + right)
-    run = run & ~U64(0xFFFF) | (sides[0] >> U64(56)) << U64(8) | sides[1] >> U64(56)
+    run = run & ~U64(0xFFFFFFFF) | (sides[0] >> U64(48)) << U64(16) | sides[1] >> U64(48)
     return anchor, run, doc, (start - words.bounds[doc]) << _START | offset << _OFFSET | count
 
 
@@ -132,7 +132,7 @@ def _frequent_cells(texts: DataFrame, length: int) -> np.ndarray:
 
 
 def _side(shift: int) -> Column:
-    return F.shiftrightunsigned("r", shift).bitwiseAND(F.lit(255))
+    return F.shiftrightunsigned("r", shift).bitwiseAND(F.lit(0xFFFF))
 
 
 def _extended(rare: DataFrame, often: DataFrame) -> DataFrame:
@@ -144,9 +144,9 @@ def _extended(rare: DataFrame, often: DataFrame) -> DataFrame:
     over = lambda *by: Window.partitionBy("a", *by)
     several = lambda side: F.min("r").over(over(side)) != F.max("r").over(over(side))
     rare = rare.withColumns({"m": F.min("id").over(over()), "n": F.max("id").over(over())}).where("m < n").drop("m", "n")
-    rare = rare.withColumns({"sl": _side(8), "sr": _side(0)}).withColumn("least", F.min("id").over(over("r")))
+    rare = rare.withColumns({"sl": _side(16), "sr": _side(0)}).withColumn("least", F.min("id").over(over("r")))
     rare = rare.withColumn("more_left", several("sl")).withColumn("more_right", several("sr"))
-    classes = materialize(often.groupBy("a", "r").agg(F.min("id").alias("least"), F.max("id").alias("most")).withColumns({"sl": _side(8), "sr": _side(0)}), "repeat-classes")
+    classes = materialize(often.groupBy("a", "r").agg(F.min("id").alias("least"), F.max("id").alias("most")).withColumns({"sl": _side(16), "sr": _side(0)}), "repeat-classes")
     shared = classes.groupBy("a").agg(F.min("least").alias("m"), F.max("most").alias("n")).where("m < n").select("a")
     sides = [classes.groupBy("a", s).agg((F.count("*") > 1).alias(name)) for s, name in (("sl", "more_left"), ("sr", "more_right"))]
     classes = classes.join(shared, "a").join(sides[0], ["a", "sl"]).join(sides[1], ["a", "sr"]).select("a", "r", "least", "more_left", "more_right")
@@ -174,9 +174,22 @@ def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _list(column: pa.Array, i: int) -> np.ndarray:
-    value = column[i].values
-    return np.zeros(0, np.int64) if value is None else np.asarray(value)
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a column of lists; null is empty."""
+    offsets, values = column.offsets.to_numpy(), np.asarray(column.values)
+    return [values[lo:hi] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _window_hashes(texts: list[bytes], places: list[np.ndarray], length: int) -> list[list[np.ndarray]]:
+    """Two hashes of the windows of each text that start at ``places``."""
+    out: list[list[np.ndarray]] = [[], []]
+    for first, last, data, offsets in text_slices(pa.array(texts, pa.large_binary()).view(pa.large_string())):
+        words = split_words(data, offsets)
+        size = np.array([len(x) for x in places[first:last]])
+        start = np.concatenate(places[first:last]) + np.repeat(words.bounds[:-1], size)
+        for column, h in zip(out, (words.hash, words.hashes(1)), strict=True):
+            column += np.split(as_long(span_hashes(h, start, start + length)), np.cumsum(size)[:-1])
+    return out
 
 
 def maximal_repeats(n_words: int, starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -231,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     found = _extended(*(_occurrences(named, length, frequent, sought) for sought in (False, True)))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        write = zstandard.ZstdCompressor(level=3).compress
+        write = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             zipped = pa.array([write(t.as_py().encode()) for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), zipped], ["id", "x", "z"])
@@ -242,24 +255,17 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            results, carried, windows = [], [], ([], [], [])
-            for i, z in enumerate(batch.column("z")):
-                text = read(z.as_py())
-                starts, counts = _unpack(_list(batch.column("gone"), i), length)
-                results.append(_result(text, starts, counts, length, with_text))
-                place = _expand(*_unpack(_list(batch.column("open"), i), length))
-                carried.append(len(place) > 0)
-                if not carried[-1]:
-                    for column in windows:
-                        column.append(None)
-                    continue
-                words = split_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-                for column, h in zip(windows, (words.hash, words.hashes(1)), strict=False):
-                    column.append(as_long(span_hashes(h, place, place + length)))
-                windows[2].append(place << _START | 1)
-            keep = pa.array(carried, pa.bool_())
-            z, gone = (pa.compute.if_else(keep, batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("z", "gone"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), z.cast(pa.binary()), gone.cast(LONGS), *(pa.array(w, LONGS) for w in windows), *_columns(results)], names)
+            texts = [read(z.as_py()) for z in batch.column("z")]
+            gone = [_unpack(runs, length) for runs in _lists(batch.column("gone"))]
+            results = [_result(t, *g, length, with_text) for t, g in zip(texts, gone, strict=True)]
+            places = [_expand(*_unpack(runs, length)) for runs in _lists(batch.column("open"))]
+            keep = np.array([len(x) > 0 for x in places], bool)
+            at, windows = np.flatnonzero(keep).tolist(), [[None] * batch.num_rows for _ in range(3)]
+            hashes = _window_hashes([texts[i] for i in at], [places[i] for i in at], length)
+            for i, w1, w2 in zip(at, *hashes, strict=True):
+                windows[0][i], windows[1][i], windows[2][i] = w1, w2, places[i] << _START | 1
+            z, left = (pa.compute.if_else(pa.array(keep), batch.column(c), pa.scalar(None, batch.column(c).type)) for c in ("z", "gone"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), z.cast(pa.binary()), left.cast(LONGS), *(pa.array(w, LONGS) for w in windows), *_columns(results)], names)
 
     fields = f"id long, x long, z binary, gone array<long>, w1 array<long>, w2 array<long>, p array<long>, {result}"
     zipped = named.mapInArrow(shrink, "id long, x long, z binary")
@@ -275,9 +281,10 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
         read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             settled = list(zip(*(batch.column(name).to_pylist() for name, _ in _RESULT), strict=True))
-            for i, more in enumerate(batch.column("more")):
-                if more.is_valid:
-                    runs = np.concatenate([_list(batch.column(c), i) for c in ("gone", "more")])
+            gone = _lists(batch.column("gone"))
+            for i, more in enumerate(_lists(batch.column("more"))):
+                if len(more):
+                    runs = np.concatenate([gone[i], more])
                     settled[i] = _result(read(batch.column("z")[i].as_py()), *_unpack(runs, length), length, with_text)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_columns(settled)], names_out)
 

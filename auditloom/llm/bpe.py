@@ -8,7 +8,6 @@ Decoding concatenates vocabulary strings.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -17,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .pretokens import ChunkEncoder, packed
+from .pretokens import ChunkEncoder, packed, read_spec
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -31,8 +30,7 @@ class BytePairTokenizer:
     """Reads a tokenizer file of byte-level BPE kind; its path is the only parameter."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
@@ -49,7 +47,7 @@ class BytePairTokenizer:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
-        self._encoder = ChunkEncoder(lambda xs: [packed(self.merge(x.encode())) for x in xs], self.special)
+        self._encoder = ChunkEncoder(lambda piece: packed(self.merge(piece.encode())), self.special)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""

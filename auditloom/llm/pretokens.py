@@ -2,11 +2,13 @@
 
 A byte-level pre-tokenizer looks at most one white-space run ahead, so a text
 may be cut before a space that has a non-white neighbour. Chunks and, below
-them, pre-tokens repeat across a corpus; both are cached, in bounded tables.
+them, pre-tokens repeat across a corpus; both are cached, in tables of bounded
+bytes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -19,26 +21,40 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p
 _PIECES = regex.compile(PATTERN)
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
 
-CHUNKS = 400_000
-PIECES = 150_000
+#: Below this character, which are letters has long been settled, so any two libraries agree.
+_OLD = "\u0500"
 
+#: Entries of the two tables, and characters of a key from which on nothing is kept: with ids, 1 KB an entry at most.
+CHUNKS, PIECES, LONGEST = 800_000, 400_000, 32
 
-class Recent:
-    """A bounded table: when ``most`` entries are new, those not used since the last time go."""
 
-    def __init__(self, most: int):
-        self.most, self.now, self.old = most, {}, {}
+def read_spec(path: str) -> dict:
+    """The tokenizer file at ``path``; ``ValueError`` if it isn't plain byte-level BPE, which is all that is cut here."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+    added = not any(t.get(x) for t in spec.get("added_tokens", []) for x in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and byte_level and added) or spec.get("normalizer"):
+        raise ValueError(f"{path}: only byte-level BPE without a normalizer, a prefix space or stripping added tokens")
+    return spec
 
-    def missing(self, keys: set) -> list:
-        """Keys that have no value yet; values that were about to go are kept on."""
-        if len(self.now) > self.most:
-            self.now, self.old = {}, self.now
-        keys = keys.difference(self.now)  # a plain dict: looks up each key
-        old = self.old
-        if not old:
-            return list(keys)
-        self.now.update({k: old[k] for k in keys if k in old})
-        return [k for k in keys if k not in old]
+
+class Known(dict):
+    """Values of keys seen lately; others are made on the spot. Starts afresh when full; long keys are never kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self._make, self._most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self._most:
+                self.clear()
+            self[key] = value
+        return value
 
 
 def packed(ids: Sequence[int]) -> bytes:
@@ -49,24 +65,19 @@ def packed(ids: Sequence[int]) -> bytes:
     return out.tobytes()
 
 
-def pieces(text: str) -> list[str]:
-    """Pre-tokens of a text that holds no special token."""
-    return _PIECES.findall(text)
-
-
 class ChunkEncoder:
-    """Encodes whole texts; ``encode_pieces`` does the work for pre-tokens not seen lately.
+    """Encodes whole texts; ``encode_piece`` does the work for a pre-token not seen lately.
 
-    Results are ids packed as little-endian unsigned 32-bit integers. The
-    tables start afresh when full, so memory is bounded whatever the corpus.
+    Results are ids packed as little-endian unsigned 32-bit integers. Memory is
+    bounded whatever the corpus.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Sequence[bytes]], special: dict[str, int], chunks: int = CHUNKS, kept: int = PIECES):
-        self._encode = encode_pieces
+    def __init__(self, encode_piece: Callable[[str], bytes], special: dict[str, int], chunks: int = CHUNKS, pieces: int = PIECES):
         self._special = special
         longest_first = sorted(special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
-        self._after, self._piece = Recent(chunks), Recent(kept)
+        self._piece = Known(encode_piece, pieces)
+        self._after = Known(self._chunk, chunks)
 
     def __call__(self, text: str) -> bytes:
         if self._split is None or not any(s in text for s in self._special):
@@ -77,18 +88,14 @@ class ChunkEncoder:
         if not text:
             return b""
         if _UNSAFE.search(text):
-            return self._by_piece([text])[0]
+            return self._by_piece(text)
         head, *rest = text.split(" ")
-        missing = self._after.missing(set(rest))
-        if missing:
-            self._after.now.update(zip(missing, self._by_piece([" " + x for x in missing]), strict=True))
-        first = self._by_piece([head])[0] if head else b""
-        return first + b"".join(map(self._after.now.__getitem__, rest))
-
-    def _by_piece(self, chunks: list[str]) -> list[bytes]:
-        split = [_PIECES.findall(x) for x in chunks]
-        missing = self._piece.missing({p for x in split for p in x})
-        known = self._piece.now
-        if missing:
-            known.update(zip(missing, self._encode(missing), strict=True))
-        return [known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x]) for x in split]
+        return self._by_piece(head) + b"".join(map(self._after.__getitem__, rest))
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < _OLD):  # one pre-token
+            return self._piece[" " + chunk]
+        return self._by_piece(" " + chunk)
+
+    def _by_piece(self, text: str) -> bytes:
+        return b"".join(map(self._piece.__getitem__, _PIECES.findall(text)))

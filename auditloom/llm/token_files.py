@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .bpe import byte_alphabet
 from .common import least_hashed, temporary_path
-from .pretokens import ChunkEncoder, packed
+from .pretokens import ChunkEncoder, packed, read_spec
 
 MAGIC = b"ALTK1"
 #: Bytes of packed ids after which a container is closed.
@@ -52,15 +52,16 @@ def library_encoder(path: str) -> ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        read_spec(path)
         model = Tokenizer.from_file(path)
         special = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
-
         alphabet = byte_alphabet()  # the library's model takes pre-tokens in its byte alphabet
-        core = model.model
+        core, space = model.model.tokenize, alphabet[32]
 
-        def encode(words: list[str]) -> list[bytes]:
-            spelled = [x.encode().decode("latin-1").translate(alphabet) for x in words]
-            return [packed([t.id for t in core.tokenize(x)]) for x in spelled]
+        def encode(piece: str) -> bytes:
+            if piece[0] == " " and piece.isascii() and piece[1:].isalnum():
+                return packed([t.id for t in core(space + piece[1:])])
+            return packed([t.id for t in core(piece.encode().decode("latin-1").translate(alphabet))])
 
         _encoders[path] = ChunkEncoder(encode, special)
     return _encoders[path]

@@ -32,7 +32,7 @@ def test_small_tables_forget_nothing():
     from auditloom.llm.pretokens import ChunkEncoder, packed
 
     own = bpe.load(PATH)
-    tiny = ChunkEncoder(lambda xs: [packed(own.merge(x.encode())) for x in xs], own.special, chunks=3, kept=2)
+    tiny = ChunkEncoder(lambda piece: packed(own.merge(piece.encode())), own.special, chunks=3, pieces=2)
     for text in ("one two three four one two", "two five six one, two", "one two three seven"):
         assert np.frombuffer(tiny(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +35,44 @@ def temporary_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Paths of the tables that are still kept, in the order in which they were made.
+_kept: list[str] = []
+
+
+def materialize(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    ``replaces`` is a table made here before that nothing reads any more; its
+    files go.
     """
     spark = df.sparkSession
     path = temporary_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    old = None if replaces is None else replaces.__dict__.get("_stored_at")
+    if old in _kept:
+        _kept.remove(old)
+        _delete(spark, old)
+    return out
+
+
+def settle(make: Callable[[], DataFrame], spark: SparkSession, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """``make()`` materialised; every other table that was made for it goes, and so does ``replaces``."""
+    before = len(_kept)
+    out = materialize(make(), name)
+    for path in _kept[before:-1]:
+        _delete(spark, path)
+    del _kept[before:-1]
+    old = None if replaces is None else replaces.__dict__.get("_stored_at")
+    if old in _kept:
+        _kept.remove(old)
+        _delete(spark, old)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import materialize, shared_dir, temporary_path  # noqa: F401
+from ..functions.shared import materialize, settle, shared_dir, temporary_path  # noqa: F401
 
 #: Rows of one Arrow batch sent to Python; texts are long, so batches are short.
 ARROW_ROWS = 400
@@ -29,7 +29,7 @@ def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
     return rows.orderBy(place, column).limit(n)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node, over undirected ``edges``.
 
     Alternates large-star and small-star steps until the edge set stands still.
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = materialize(pairs.where("u is not null and v is not null and u <> v").distinct(), "cc-edges")
-    for _ in range(rounds):
+    while True:  # every round brings nodes nearer to their least, so it ends; as a rule after a logarithm of the longest path
         # Settled once all are stars: each larger end has one smaller one, which is no larger end itself.
         ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")
         ends = pairs.select(ends).select("e.*").groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
@@ -53,9 +53,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # Small star: the smaller neighbours, and the node itself, go to their least.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        pairs = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        pairs = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges", replaces=pairs)
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stars.union(centres)

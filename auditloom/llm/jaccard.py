@@ -1,22 +1,29 @@
 """N-gram Jaccard join by blocked sparse products of the document x n-gram matrix.
 
-Documents with equal shingle sets are one class. Of each class's row only the
-prefix is kept at first: the rarest ``n - ceil(t n) + 1`` columns, of which two
-sets of similarity ``t`` share one at least. Columns are ordered by the rarest
-of their words (from a word-count sketch of fixed size over the whole corpus)
-and then by hash, so common wording stays out of the prefixes.
-
-* A column that few documents have pairs them all. Sizes that can't reach the
-  bound are dropped, then pairs whose overlap can't: the smaller counts of
-  ``CELLS`` hash cells add up to no less than it. Overlaps of the others are
-  counted on the whole sets.
-* A column that many have first pairs each with one of similar size. Where that
-  leaves several components, documents connected by such columns are dealt
-  into blocks by size, and the products of blocks accumulate exact overlaps of
-  whole sets; a block pair returns spanning stars, never pairs.
-
-Components of the links follow. Nothing is sampled: every pair that may link
-is compared, unless it is known to be connected already.
+Documents with equal shingle sets are one class and one row of the matrix. All
+candidates go through products of blocks:
+
+1. *Columns.* Of each row only the prefix enters: the rarest ``n - ceil(t n) +
+   1`` columns, of which two sets of similarity ``t`` share one at least.
+   Columns are ordered by the rarest of their words (from a word-count sketch of
+   fixed size over the whole corpus) and then by hash, so common wording stays
+   out of the prefixes. A column's rows, in order of size, fall into stretches
+   whose neighbours are near enough in size; a row alone in its stretch goes.
+   The product of a stretch keeps pairs whose sizes allow the bound and whose
+   overlap can reach it: the smaller counts of ``CELLS`` hash cells add up to
+   no less than the overlap. Columns of more than ``COLUMN_ROWS`` rows pair
+   each row with the least of its size band instead.
+2. *Components of the candidates.* A component of one block's size is
+   multiplied whole: exact overlaps of all its pairs accumulate over strips of
+   shared columns, and pairs below the bound go.
+3. *Larger ones.* Of larger components the candidate pairs are multiplied
+   first, a block for each centre. Where that, or a column of step 1 that was
+   not multiplied whole, leaves several components of links, the documents are
+   dealt into blocks by size and by component, and all pairs of blocks that can
+   still connect two components are multiplied.
+
+A block sends spanning stars of what it linked, never pairs. Nothing is
+sampled: every pair that may link is compared, unless it is connected already.
 """
 
 from __future__ import annotations
@@ -27,21 +34,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize
+from .grouping import pairs_within, spanning_stars, starts, whole_groups
 from .sketch import cell, count_cells
 from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_slices
 
-#: Documents of a column up to which all its pairs are compared.
-FEW = 48
-#: Documents and shingles of a block, on average.
+#: Rows of a column that are multiplied as one block.
+COLUMN_ROWS = 48
+#: Documents and shingles of a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 #: Hash cells whose counts bound an overlap.
 CELLS = 128
-#: Columns that a dense product takes at a time.
-STRIP = 4096
+#: Columns that a dense product takes at a time, rows that are worked on together, and pairs whose bounds are.
+STRIP, ROWS, PAIRS = 4096, 2048, 20_000
+EDGE = "a long, b long"
 
 
 def word_ranks(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -119,35 +128,71 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s binary")
 
 
-def _may_link(pairs: DataFrame, cells: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs ``a, b`` that link unless their overlap stays below its upper bound."""
+def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _near(n: Column, other: Column, num: int, den: int) -> Column:
+    """Whether sets of these sizes can link."""
+    return den * F.least(n, other) >= num * F.greatest(n, other)
+
+
+def _band(num: int, den: int) -> Column:
+    """Band of sizes: sets that may link lie in one band or in neighbouring ones (a little wider, for rounding)."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)) if num < den else F.col("n")).cast("long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, CELLS).astype(np.int64) for i in (2, 3))
-            most = np.minimum(x, y).sum(1)
-            yield batch.select(["a", "b"]).filter(pa.array(den * most >= num * (x.sum(1) + y.sum(1) - most)))
 
-    left = cells.select(F.col("id").alias("a"), F.col("cells").alias("ca"))
-    right = cells.select(F.col("id").alias("b"), F.col("cells").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+def _may_link(n: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of the pairs link unless their overlap stays below its upper bound."""
+    out = np.zeros(len(x), bool)
+    for lo in range(0, len(x), PAIRS):
+        i, j = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
+        most = np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64)
+        out[lo : lo + PAIRS] = den * most >= num * (n[i] + n[j] - most)
+    return out
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs ``a, b`` that link, by their whole sets."""
+def _column_products(postings: DataFrame, kept: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate edges ``a, b`` from columns of few rows: spanning stars of the pairs that pass the bounds."""
+    by_size = Window.partitionBy("col").orderBy("n", "id")
+    before, after = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    joins = F.coalesce(_near(F.col("n"), before, num, den), F.lit(False))
+    goes_on = F.coalesce(_near(F.col("n"), after, num, den), F.lit(False))
+    rows = postings.withColumns({"joins": joins, "goes_on": goes_on}).withColumn("stretch", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(by_size))
+    rows = rows.where("joins or goes_on").select("col", "stretch", "id").join(kept.select("id", "n", "cells"), "id")
+    rows = rows.repartition("col", "stretch").sortWithinPartitions("col", "stretch").select("col", "stretch", "id", "n", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["col", "stretch"], ROWS):
+            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u4").reshape(-1, CELLS)
+            first = starts(table, ["col", "stretch"])
+            x, y = pairs_within(first, np.diff(np.append(first, len(ids))))
+            near = (ids[x] != ids[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
+            x, y = x[near], y[near]
+            may = _may_link(n, cells, x, y, num, den)
+            yield _edges(*spanning_stars(ids, x[may], y[may]))
+
+    return rows.mapInArrow(run, EDGE)
+
+
+def _pairs_of_leaders(hot: DataFrame, kept: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate edges from columns of many rows: each with the least of its size band that passes the bounds."""
+    hot = hot.withColumn("band", _band(num, den))
+    leaders = hot.groupBy("col", "band").agg(F.min(F.struct("id", "n")).alias("x")).select("col", "band", F.col("x.id").alias("b"), F.col("x.n").alias("nb"))
+    pairs = hot.join(leaders, ["col", "band"]).where(_near(F.col("n"), F.col("nb"), num, den) & (F.col("id") != F.col("b"))).select(F.col("id").alias("a"), "b").distinct()
+    left = kept.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+    right = kept.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            k = batch.num_rows
+            cells = np.frombuffer(b"".join(batch.column("ca").to_pylist() + batch.column("cb").to_pylist()), "<u4").reshape(-1, CELLS)
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            may = _may_link(n, cells, np.arange(k), np.arange(k, 2 * k), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
 
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, EDGE)
 
 
 def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> np.ndarray:
@@ -187,68 +232,85 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
     return link & (both > 0)
 
 
-def spanning_stars(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An edge from each linked id to the least id of its cluster."""
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    least = rank.copy()
-    while True:
-        before = least.copy()
-        np.minimum.at(least, i, before[j])
-        np.minimum.at(least, j, before[i])
-        least = np.minimum(least, least[order[least]])
-        if (least == before).all():
-            break
-    root = ids[order][least]
-    moved = root != ids
-    return ids[moved], root[moved]
-
-
-def _links_in_blocks(hot: DataFrame, components: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links that connect different components among documents that share frequent columns."""
-    known = hot.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in column]
+
+
+def _whole_products(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` within groups ``g`` of one block's size, each multiplied whole."""
+    rows = members.select("id", "g").join(sets, "id").repartition("g").sortWithinPartitions("g", "id").select("g", "id", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["g"], ROWS // 8):
+            ids, s, first = table.column("id").to_numpy(), _unpacked(table.column("s")), starts(table, ["g"])
+            left, right = [], []
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+                i, j = np.nonzero(block_links(s[lo:hi], None, num, den))
+                left.append(lo + i)
+                right.append(lo + j)
+            yield _edges(*spanning_stars(ids, np.concatenate(left), np.concatenate(right)))
+
+    return rows.mapInArrow(run, EDGE)
+
+
+def _star_products(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the edges ``a, b`` that link; the blocks are ``b`` by stretches of its partners."""
+    parts = edges.groupBy("b").agg(F.ceil(F.count("*") / BLOCK_DOCS).alias("parts"))
+    edges = edges.join(parts, "b").select(F.col("b").alias("centre"), F.pmod(F.xxhash64("a"), "parts").alias("part"), F.col("a").alias("id"))
+    rows = edges.union(edges.select("centre", "part", "centre").distinct()).join(sets, "id")
+    rows = rows.repartition("centre", "part").sortWithinPartitions("centre", "part").select("centre", "part", "id", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["centre", "part"], ROWS // 8):
+            ids, centre, s = table.column("id").to_numpy(), table.column("centre").to_numpy(), _unpacked(table.column("s"))
+            first = starts(table, ["centre", "part"])
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+                inner = [k for k in range(lo, hi) if ids[k] == centre[k]]
+                outer = [k for k in range(lo, hi) if ids[k] != centre[k]]
+                linked = block_links([s[k] for k in outer], [s[k] for k in inner], num, den).any(1)
+                mine = ids[outer][linked]
+                yield _edges(mine, np.full(len(mine), centre[lo]))
+
+    return rows.mapInArrow(run, EDGE)
+
+
+def _block_products(groups: DataFrame, reached: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between different components of links among documents that share a group ``col``.
+
+    Blocks hold documents of one size band; those of a large component keep to
+    themselves, so that pairs of blocks that are connected already are told
+    from the blocks alone and never travel.
+    """
+    known = groups.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = known.groupBy("col").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1")
-    known = materialize(known.join(mixed.select("col", "hub"), "col").select("id", "hub", "component").distinct(), "ngram-hot")
-    groups = connected_components(known.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    members = known.select("id", "component").distinct().join(groups.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
-    members = members.join(sets.select("id", "n"), "id")
-    # Sets that may link lie in one band of sizes or in neighbouring ones.
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n"))
-    members = members.withColumn("band", band.cast("long"))
-    sizes = members.groupBy("g", "band").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    sizes = sizes.withColumn("parts", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int"))
-    own = sizes.select("g", "band", "parts")
-    above = sizes.select("g", (F.col("band") - 1).alias("band"), F.col("parts").alias("parts_above"))
-    below = sizes.select("g", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_below"))
-    members = members.join(own, ["g", "band"]).join(above, ["g", "band"], "left").join(below, ["g", "band"], "left")
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
-    pair = lambda lo_band, lo, hi_band, hi: F.struct(lo_band.alias("lb"), lo.alias("l"), hi_band.alias("hb"), hi.alias("h"))
-    block, here = F.col("block"), F.col("band")
-    until = lambda c: F.sequence(F.lit(0), F.coalesce(F.col(c), F.lit(1)) - 1)
-    pairs = F.concat(
-        F.transform(until("parts"), lambda o: pair(here, F.least(block, o), here, F.greatest(block, o))),
-        F.when(F.col("parts_above").isNotNull(), F.transform(until("parts_above"), lambda o: pair(here, block, here + 1, o))).otherwise(F.array().cast("array<struct<lb:long,l:int,hb:long,h:int>>")),
-        F.when(F.col("parts_below").isNotNull(), F.transform(until("parts_below"), lambda o: pair(here - 1, o, here, block))).otherwise(F.array().cast("array<struct<lb:long,l:int,hb:long,h:int>>")),
-    )
-    members = members.select("id", "component", "g", "band", "block", F.explode(pairs).alias("p")).join(sets.select("id", "s"), "id")
-    members = members.select("id", "component", "g", F.col("p.lb").alias("lb"), F.col("p.l").alias("l"), F.col("p.hb").alias("hb"), F.col("p.h").alias("h"), "band", "block", "s")
+    known = materialize(known.join(mixed.select("col", "hub"), "col").select("id", "hub", "component").distinct(), "ngram-mixed")
+    hubs = connected_components(known.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    members = known.select("id", "component").distinct().join(hubs.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
+    members = members.join(sets.select("id", "n"), "id").withColumn("band", _band(num, den))
+    parts = lambda docs, shingles: F.greatest(F.ceil(F.sum(docs) / BLOCK_DOCS), F.ceil(F.sum(shingles) / BLOCK_SHINGLES))
+    own = members.groupBy("g", "band", "component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), parts(F.lit(1), F.col("n")).alias("own"))
+    pooled = own.where("own = 1").groupBy("g", "band").agg(parts("m", "total").alias("pool"))
+    own = own.join(pooled, ["g", "band"], "left").select("g", "band", "component", "own", "pool")
+    # A large component has blocks of its own, the others go to a block whole.
+    place = F.when(F.col("own") > 1, F.struct(F.col("component").alias("c"), F.pmod(F.xxhash64("id"), "own").alias("k"))).otherwise(F.struct(F.lit(None).cast("long").alias("c"), F.pmod(F.xxhash64("component"), "pool").alias("k")))
+    members = materialize(members.join(own, ["g", "band", "component"]).select("id", "component", "g", "band", F.xxhash64("g", "band", place).alias("block")), "ngram-blocks")
+    blocks = members.groupBy("g", "band", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+    above = blocks.select("g", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("at"), F.col("block").alias("hi"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
+    pairs = blocks.join(above, ["g", "band"]).where("(at > band or block <= hi) and not (c0 = c1 and d0 = d1 and c0 = d0)").select(F.col("block").alias("lo"), "hi")
+    ends = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
+    rows = members.select("id", "component", "block").join(ends, "block").join(sets.select("id", "s"), "id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        first = frame.iloc[0]
-        ids, part = frame["id"].to_numpy(), frame["component"].to_numpy()
-        sets_ = [np.frombuffer(s, U64) for s in frame["s"]]
-        low = ((frame["band"] == first["lb"]) & (frame["block"] == first["l"])).to_numpy()
-        a = np.flatnonzero(low)
-        b = a if low.all() and (first["lb"], first["l"]) == (first["hb"], first["h"]) else np.flatnonzero(~low)
-        if not len(a) or not len(b) or len(np.unique(part)) == 1:
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        link = block_links([sets_[x] for x in a], None if b is a else [sets_[x] for x in b], num, den)
+        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
+        ids, part, block = (frame[c].to_numpy() for c in ("id", "component", "block"))
+        s = [np.frombuffer(x, U64) for x in frame["s"]]
+        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        link = block_links([s[k] for k in a], None if lo == hi else [s[k] for k in b], num, den)
         i, j = np.nonzero(link & (part[a][:, None] != part[b][None, :]))
         x, y = spanning_stars(ids, a[i], b[j])
         return pd.DataFrame({"a": x, "b": y})
 
-    return members.groupBy("g", "lb", "l", "hb", "h").applyInPandas(run, "a long, b long")
+    return rows.groupBy("lo", "hi").applyInPandas(run, EDGE)
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,22 +331,21 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     postings = kept.select("id", "n", F.explode("prefix").alias("col"))
     often = postings.groupBy("col").agg(F.count("*").alias("m")).where("m > 1")
     postings = materialize(postings.join(often, "col"), "ngram-postings")
-    few = postings.where(F.col("m") <= FEW).select("col", "id", "n")
-    other = few.select("col", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = (den * F.least("n", "nb") >= num * F.greatest("n", "nb")) & (F.col("id") < F.col("b"))
-    pairs = few.join(other, "col").where(close).select(F.col("id").alias("a"), "b")
-    hot = postings.where(F.col("m") > FEW)
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) if num < den else F.col("n"))
-    leaders = hot.groupBy("col", band.alias("band")).agg(F.min(F.struct("id", "n")).alias("x")).select("col", "band", F.col("x.id").alias("b"), F.col("x.n").alias("nb"))
-    near = hot.withColumn("band", band).join(leaders, ["col", "band"])
-    near = near.where((den * F.least("n", "nb") >= num * F.greatest("n", "nb")) & (F.col("id") != F.col("b"))).select(F.col("b").alias("a"), F.col("id").alias("b"))
-    pairs = materialize(_may_link(pairs.union(near).distinct(), kept.select("id", "cells"), num, den), "ngram-pairs")
-    needed = pairs.select("a").union(pairs.select("b")).union(hot.select("id")).distinct().withColumnRenamed("a", "id")
+    hot = postings.where(F.col("m") > COLUMN_ROWS).drop("m")
+    edges = _column_products(postings.where(F.col("m") <= COLUMN_ROWS), kept, num, den).union(_pairs_of_leaders(hot, kept, num, den))
+    edges = materialize(edges.distinct(), "ngram-edges")
+    members = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    needed = members.select("id").union(hot.select("id")).distinct()
     sets = materialize(_sets(texts.join(needed, "id").select("id", "text"), n), "ngram-sets")
-    links = materialize(_verify(pairs, sets, num, den), "ngram-links")
+    sizes = members.join(sets.select("id", "n"), "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    members = materialize(members.join(sizes, "g").withColumn("large", (F.col("m") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select("id", "g", "large"), "ngram-members")
+    large = members.where("large")
+    spokes = edges.join(large.select(F.col("id").alias("a")), "a", "left_semi")
+    links = materialize(_whole_products(members.where("not large"), sets, num, den).union(_star_products(spokes, sets, num, den)), "ngram-links")
     reached = connected_components(links)
-    if not hot.isEmpty():
-        more = materialize(_links_in_blocks(hot.select("col", "id"), reached, sets, num, den), "ngram-links")
+    groups = hot.select("col", "id").union(large.select(F.xxhash64(F.lit("component"), "g").alias("col"), "id"))
+    if not groups.isEmpty():
+        more = materialize(_block_products(groups, reached, sets, num, den), "ngram-links")
         if not more.isEmpty():
             stars = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
             reached = connected_components(stars.union(more))

@@ -38,8 +38,10 @@ def brute_components(rows, n, num, den):
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 90, 100), (5, 80, 100)])
 def test_components(docs, texts, n, num, den, monkeypatch):
     want = brute_components(texts, n, num, den)
-    for few in (48, 2):  # the second sends groups through the blocks
-        monkeypatch.setattr(jaccard, "FEW", few)
+    # Columns and components fit into blocks; columns don't; components don't either.
+    for rows, block in ((48, 1024), (2, 1024), (2, 4), (48, 4)):
+        monkeypatch.setattr(jaccard, "COLUMN_ROWS", rows)
+        monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
         got = jaccard.components(docs, n, num, den).collect()
         assert len(got) == len(texts)
         assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want

@@ -16,10 +16,18 @@ def containing_slice(windows: DataFrame, slices: DataFrame) -> DataFrame:
 
 
 def overlapping(windows: DataFrame, slices: DataFrame, strict: bool = False) -> DataFrame:
-    """J-12: pairs that overlap; touching ones count unless ``strict``."""
-    s = slices.select(*[F.col(c).alias(f"slice_{c}") for c in slices.columns])
+    """J-12: pairs that overlap; touching ones count unless ``strict``.
+
+    Both sides are dealt into time bins as wide as the longer of their mean
+    lengths; a pair meets in the first bin that both reach, by an equi-join.
+    """
+    length = lambda rows: rows.agg(F.avg(F.col("end") - F.col("start"))).first()[0] or 0
+    width = int(max(1, length(windows), length(slices)))
+    bins = lambda rows: rows.where("start <= end").withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    s = bins(slices).select(F.col("_bin"), *[F.col(c).alias(f"slice_{c}") for c in slices.columns])
     hit = (F.col("start") < F.col("slice_end")) & (F.col("end") > F.col("slice_start")) if strict else (F.col("start") <= F.col("slice_end")) & (F.col("end") >= F.col("slice_start"))
-    return windows.join(s, hit)
+    first = F.col("_bin") == F.floor(F.greatest("start", "slice_start") / width)
+    return bins(windows).join(s, "_bin").where(hit & first).drop("_bin")
 
 
 def funnel(labels: DataFrame, stages: dict[str, DataFrame], by: list[str], key: str = "uuid") -> DataFrame:

@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def disorder(rows: DataFrame, host: str, ts: Column, order: list[str]) -> DataFrame:
+def disorder(rows: DataFrame, host: str, ts: Column, order: list[str], chunk: Column | None = None) -> DataFrame:
     """A-13, W-02, H.7: a record errs if its time lies before that of the host's previous record.
 
     The previous time is always the last one seen, even a backward one.
-    Deviations are of the population, 0 for a single error.
+    Deviations are of the population, 0 for a single error. ``chunk`` never
+    falls along the order (a split, a range of keys); with it a host's stream
+    is sorted in pieces, and each piece's first row gets the last time of the
+    piece before it.
     """
-    rows = rows.select(F.col(host).alias("host_id"), ts.alias("t"), *order)
-    before = F.lag("t").over(Window.partitionBy("host_id").orderBy(*order))
+    rows = rows.select(F.col(host).alias("host_id"), ts.alias("t"), *order, (F.lit(0) if chunk is None else chunk).alias("_chunk"))
+    last = rows.groupBy("host_id", "_chunk").agg(F.max_by("t", F.struct(*order)).alias("_last"))
+    carried = F.lag("_last").over(Window.partitionBy("host_id").orderBy("_chunk"))
+    rows = rows.join(last.select("host_id", "_chunk", carried.alias("_carried")), ["host_id", "_chunk"])
+    here = Window.partitionBy("host_id", "_chunk").orderBy(*order)
+    before = F.when(F.row_number().over(here) == 1, F.col("_carried")).otherwise(F.lag("t").over(here))
     rows = rows.select("host_id", (before - F.col("t")).alias("back"))
     late = F.when(F.col("back") > 0, F.col("back").cast("double"))
     per = rows.groupBy("host_id").agg(

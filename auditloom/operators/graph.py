@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dispatch import directed
+from ..functions.shared import materialize
+from .dispatch import RELATIONS, directed
 
 LABELS = {"PROCESS": "Process", "FILE": "File", "SOCKET": "Socket", "EXECUTABLE": "Executable"}
 
@@ -41,8 +42,11 @@ def nodes(records: DataFrame) -> DataFrame:
 
 
 def event_edges(records: DataFrame, once: bool = False) -> DataFrame:
-    """G-04, J-19: an edge a record in the direction of its flow; ``once`` drops repeated edge uuids."""
-    rows = directed(records).select(F.col("edge_category").alias("rel_type"), "src", "dst", "edge_uuid", "ts_ns", "size_bytes", "raw_event_type", "host_id")
+    """G-04, J-19, P-07: an edge a record, named and directed by its flow; ``once`` drops repeated edge uuids."""
+    relation = F.lit(None).cast("string")
+    for category, name in RELATIONS.items():
+        relation = F.when(F.col("edge_category") == category, name).otherwise(relation)
+    rows = directed(records).select(relation.alias("rel_type"), "src", "dst", "edge_uuid", "ts_ns", "size_bytes", "raw_event_type", "host_id")
     return rows.dropDuplicates(["edge_uuid"]) if once else rows
 
 
@@ -65,6 +69,20 @@ def host_addresses(hosts: DataFrame) -> DataFrame:
     return rows.select(F.lit("hasHostIP").alias("rel_type"), F.col("uuid").alias("src"), F.substring_index("ip", "%", 1).alias("dst")).distinct()
 
 
+def metadata_nodes(hosts: DataFrame, principals: DataFrame) -> DataFrame:
+    """G-02, G-09: Host and User nodes with what their records say, and the IPAddress nodes of the hosts' interfaces."""
+    host = hosts.select(F.lit("Host").alias("label"), "uuid", F.col("host_name").alias("name"), F.col("host_type").alias("kind"), F.col("os_details").alias("details"))
+    user = principals.select(F.lit("User").alias("label"), "uuid", F.col("username").alias("name"), F.col("user_id").alias("kind"), F.array_join("group_ids", ",").alias("details"))
+    none = F.lit(None).cast("string")
+    address = host_addresses(hosts).select(F.lit("IPAddress").alias("label"), F.col("dst").alias("uuid"), none.alias("name"), none.alias("kind"), none.alias("details")).distinct()
+    return host.union(user).union(address)
+
+
+def with_metadata(nodes_: DataFrame, metadata: DataFrame) -> DataFrame:
+    """G-01, G-09: nodes of records and of metadata as one table, a row for each label and uuid."""
+    return nodes_.join(metadata, ["label", "uuid"], "full")
+
+
 def ingestion_stats(mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """G-10: mentions and distinct nodes by label, edges by type."""
     a = mentions.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("uuid").alias("n_distinct"))
@@ -76,11 +94,26 @@ def host_nodes(originates: DataFrame, edges: DataFrame) -> DataFrame:
 
     Pass edges of a time window for the active nodes of that window.
     """
-    ends = edges.select(F.col("src").alias("p"), F.col("dst").alias("other")).union(edges.select(F.col("dst"), F.col("src")))
+    both = F.explode(F.array(F.struct(F.col("src").alias("p"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("p"), F.col("src").alias("other")))).alias("e")
+    # Parallel edges go before the join, not after it.
+    ends = edges.select("src", "dst").distinct().select(both).select("e.*").distinct()
     hit = originates.select(F.col("src").alias("p"), F.col("dst").alias("host")).join(ends, "p")
     return hit.select("host", F.explode(F.array("p", "other")).alias("uuid")).distinct()
 
 
+def record_host_nodes(records: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """J-05, J-06 from records in one pass: hosts are those of any time, edges those of ``[start, end)``."""
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (F.col("ts_ns") >= start)
+    if end is not None:
+        inside = inside & (F.col("ts_ns") < end)
+    rows = records.groupBy(F.col("subject_uuid").alias("src"), F.col("object_uuid").alias("dst"), F.col("host_id").alias("host")).agg(F.max(inside).alias("inside"))
+    rows = materialize(rows, "host-records")
+    origins = rows.where("src is not null and coalesce(host, '') <> ''").select("src", F.col("host").alias("dst")).distinct()
+    return host_nodes(origins, rows.where("inside and src is not null and dst is not null"))
+
+
 def existing(uuids: DataFrame, nodes_: DataFrame) -> DataFrame:
     """J-07: uuids that some node has."""
     return uuids.join(nodes_.select("uuid"), "uuid", "left_semi")

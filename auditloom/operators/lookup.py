@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import materialize
 from ..functions.records import field, first_truthy, record_body, record_type, unwrap, unwrap_uuid
 
 #: Record types that describe objects, and type names by role in order of priority.
@@ -105,17 +106,28 @@ def resolve_chain(nodes: DataFrame, node: str, parent: str, stop: Column, depth:
     """J-03: follow parents until ``stop``, a missing parent, a loop to itself, or ``depth`` hops.
 
     ``nodes`` has one row a node. Returns ``node, resolved, hops``. A parent
-    outside ``nodes`` is still the result. The step halves no chain: each hop
-    is one join of the rows that are still on their way.
+    outside ``nodes`` is still the result. Jumps double: one of two hops is two
+    of one, and so on, each written once; those whose sizes add up to ``depth``
+    follow each other. Ten hops are four joins.
     """
     edges = nodes.select(F.col(node).alias("_n"), F.col(parent).alias("_p"), F.coalesce(stop, F.lit(False)).alias("_stop"))
     move = (~F.col("_stop")) & F.col("_p").isNotNull() & (F.col("_p") != F.col("_n"))
-    rows = edges.select(F.col("_n").alias("node"), F.when(move, F.col("_p")).otherwise(F.col("_n")).alias("at"), F.when(move, 1).otherwise(0).alias("hops"), move.alias("on"))
-    for _ in range(depth - 1):
-        rows = rows.join(edges, (F.col("at") == F.col("_n")) & F.col("on"), "left")
-        again = F.coalesce(F.col("on") & move, F.lit(False))
-        rows = rows.select("node", F.when(again, F.col("_p")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.when(again, 1).otherwise(0)).alias("hops"), again.alias("on"))
-    return rows.select("node", F.col("at").alias("resolved"), F.col("hops").cast("long").alias("hops"))
+    jump = edges.select(F.col("_n").alias("node"), F.when(move, F.col("_p")).otherwise(F.col("_n")).alias("at"), F.when(move, 1).otherwise(0).alias("hops"))
+
+    def after(first: DataFrame, second: DataFrame) -> DataFrame:
+        step = second.select(F.col("node").alias("_n"), F.col("at").alias("_a"), F.col("hops").alias("_h"))
+        rows = first.join(step, F.col("at") == F.col("_n"), "left")
+        return rows.select("node", F.coalesce("_a", "at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"))
+
+    done, size = None, 1
+    while True:
+        if depth & size:
+            done = jump if done is None else after(done, jump)
+        size *= 2
+        if size > depth:
+            break
+        jump = materialize(after(jump, jump), "jumps")
+    return done.select("node", F.col("at").alias("resolved"), F.col("hops").cast("long").alias("hops"))
 
 
 def process_map(lookup: DataFrame, depth: int = 10) -> DataFrame:

@@ -98,21 +98,22 @@ def run_filters(events: DataFrame, filters: list[NodeFilter], by: list[str]) ->
     """N-14, A-19: filters in order, and the funnel of nodes and events after each.
 
     ``n_nodes`` of a filter's row is the size of the set that it keeps, even
-    where a kept node has lost all its events.
+    where a kept node has lost all its events. Events and stats are written
+    after each filter, so none is computed twice; an event adds two to the
+    degrees, which gives the counts of events from the stats.
     """
-    def count(rows: DataFrame, stage: int, name: str, what: str) -> DataFrame:
-        return rows.agg(F.count("*").alias("n")).select(F.lit(stage).alias("stage"), F.lit(name).alias("filter"), F.lit(what).alias("what"), "n")
-
-    stats = node_stats(events, *by)
-    counts = count(events, 0, "raw", "events").union(count(stats, 0, "raw", "nodes"))
+    columns = [F.col(c) for c in (*by, "bin", "src", "dst")]
+    stats = materialize(node_stats(events, *by), "node-stats")
+    numbers = lambda rows, stage, name, what: rows.agg(what.alias("n")).select(F.lit(stage).alias("stage"), F.lit(name).alias("filter"), "n")
+    half = (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("long")
+    seen, left = numbers(stats, 0, "raw", half), numbers(stats, 0, "raw", F.count("*"))
     for i, f in enumerate(filters, 1):
         kept = f.keep(stats, by)
-        events = keep_nodes(events, kept, by)
-        counts = counts.union(count(events, i, f.describe(), "events")).union(count(kept, i, f.describe(), "nodes"))
-        stats = node_stats(events, *by)
-    of = lambda what: F.max(F.when(F.col("what") == what, F.col("n"))).alias(f"n_{what}")
-    funnel = counts.groupBy("stage", "filter").agg(of("events"), of("nodes"))
-    return events, funnel
+        events = materialize(keep_nodes(events.select(*columns), kept, by), "kept-events")
+        left = left.union(numbers(kept, i, f.describe(), F.count("*")))
+        stats = materialize(node_stats(events, *by), "node-stats")
+        seen = seen.union(numbers(stats, i, f.describe(), half))
+    return events, seen.withColumnRenamed("n", "n_events").join(left.withColumnRenamed("n", "n_nodes"), ["stage", "filter"])
 
 
 def cap_nodes(events: DataFrame, by: list[str], most: int = MAX_NODES) -> DataFrame:
@@ -165,6 +166,21 @@ def collapse_ephemeral(events: DataFrame, lookup: DataFrame, min_bins: int) -> t
     return events.where(~(moved & (F.col("src") == F.col("dst")))).drop("_src", "_dst"), up
 
 
+def collapse_diagnostics(events: DataFrame, lookup: DataFrame, min_bins: int, remap: DataFrame) -> DataFrame:
+    """N-13: one row: candidates, collapsed ones, loops dropped, groups, and the largest group with its target."""
+    short = node_stats(events).where(F.col("n_bins") < min_bins).select("node")
+    candidates = lookup.where("role = 'PROCESS'").select("node").distinct().join(short, "node", "left_semi")
+    groups = remap.groupBy("target").agg((F.count("*") + 1).alias("size"))
+    ends = events
+    for end in ("src", "dst"):
+        m = remap.select(F.col("node").alias("_n"), F.col("target").alias(f"_{end}"))
+        ends = ends.join(m, F.col(end) == F.col("_n"), "left").drop("_n")
+    moved = F.col("_src").isNotNull() | F.col("_dst").isNotNull()
+    loops = ends.where(moved & (F.coalesce("_src", "src") == F.coalesce("_dst", "dst")))
+    parts = [candidates.agg(F.count("*").alias("n_candidates")), remap.agg(F.count("*").alias("n_collapsed")), loops.agg(F.count("*").alias("n_self_loops_dropped")), groups.agg(F.count("*").alias("n_groups"), F.coalesce(F.max("size"), F.lit(0)).alias("max_group_size"))]
+    return parts[0].join(parts[1]).join(parts[2]).join(parts[3])  # four tables of one row
+
+
 def tensor_counts(events: DataFrame, *by: str) -> DataFrame:
     """Cells by name."""
     return events.groupBy(*by, "bin", "src", "dst").agg(F.count("*").alias("n"))
@@ -308,6 +324,12 @@ def select_rank(table: DataFrame) -> DataFrame:
     return table.groupBy("host_id").agg(F.coalesce(F.min(good)["rank"], F.lit(1)).alias("rank"), F.max(F.when(F.col("rank") <= 25, F.col("explained_pct"))).alias("best_explained_pct"))
 
 
+def select_consistent_rank(table: DataFrame) -> DataFrame:
+    """N-06: the last rank with enough core consistency, else the first rank tried."""
+    good = F.max(F.when(F.col("core_consistency") >= CORE_LEAST, F.col("rank")))
+    return table.groupBy("host_id").agg(F.coalesce(good, F.min("rank")).alias("rank"))
+
+
 def components(cells: DataFrame, chosen: DataFrame, starts: int = 5, group: str = "host_id", max_iter: int = 100) -> DataFrame:
     """Scores of each host's components at its chosen rank."""
 
@@ -345,6 +367,12 @@ def top_nodes(loadings: DataFrame, k: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "node"))).where(F.col("rank") <= k)
 
 
+def ordered_components(scores: DataFrame) -> DataFrame:
+    """O-07: each host's components by relevance, the largest first; ties by number."""
+    order = Window.partitionBy("host_id").orderBy(F.desc("relevance"), "component")
+    return scores.withColumn("place", F.row_number().over(order))
+
+
 def ancestors(lookup: DataFrame, depth: int = 8) -> DataFrame:
     """Every node's top ancestor within ``depth`` hops."""
     return resolve_chain(lookup, "node", "parent", F.lit(False), depth)

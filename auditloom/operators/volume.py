@@ -42,6 +42,17 @@ def timespan(cube: DataFrame, day: int) -> DataFrame:
     return cube.groupBy("host_id").agg(F.round((F.max("time_bin") - F.min("time_bin")) / F.lit(float(day)), 2).alias("timespan_days"))
 
 
+def information_flow(cube: DataFrame, model: str) -> DataFrame:
+    """P-13: the cube's rows of types that carry information."""
+    return cube.where(F.col("event_type").isin(*INFORMATION_FLOW[model]))
+
+
+def bin_distances(cube: DataFrame) -> DataFrame:
+    """W-04: ``d``, how far each of a host's active bins lies behind the one before it."""
+    bins = cube.select("host_id", "time_bin").distinct()
+    return bins.withColumn("d", F.col("time_bin") - F.lag("time_bin").over(Window.partitionBy("host_id").orderBy("time_bin")))
+
+
 def volumetrics(cube: DataFrame, flow_types: Iterable[str], unit: int, single: int) -> DataFrame:
     """A-12, J-13: mean and sample deviation of events a second over a host's active bins.
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import records, textnorm
 from ..functions.timeutil import FIVE_MINUTES_NS, realistic
-from ..operators import dispatch, evolution, lookup, volume
-from ..sources import scan
+from ..functions.shared import materialize
+from ..operators import dispatch, evolution, graph, lookup, volume
+from ..sources import scan, sinks
 from .cache import Cache
 
 
@@ -31,6 +32,27 @@ def classified_records(spark: SparkSession, registry: DataFrame, dataset: str, p
     return classify(lines, objects, dataset, part)
 
 
+def build_graph(spark: SparkSession, registry: DataFrame, dataset: str, part: str, root: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """G-11: lookup, metadata, records, nodes and edges of a time slice, written below ``root``; its statistics.
+
+    One call from raw files to a stored graph: pass 1 over all files, pass 2
+    over the window, then nodes (merged with host and user metadata), event and
+    structural edges.
+    """
+    classified = materialize(classified_records(spark, registry, dataset, part, start, end), "classified")
+    records_ = dispatch.common_records(classified)
+    nodes, edges, structural = graph.nodes(records_), graph.event_edges(records_), graph.structural_edges(records_)
+    if not records.is_ecar(dataset):
+        lines = scan.read_dataset(spark, scan.subset(registry, dataset, part), dataset)
+        hosts = materialize(lookup.host_metadata(lines, scan.ORDER), "hosts")
+        nodes = graph.with_metadata(nodes, graph.metadata_nodes(hosts, lookup.principal_metadata(lines, scan.ORDER)))
+        structural = structural.union(graph.host_addresses(hosts))
+    name = f"{dataset}_{part}__{'' if start is None else start}__{'' if end is None else end}"
+    none = [c for c in edges.columns if c not in structural.columns]
+    sinks.write_graph(nodes, edges.unionByName(structural.withColumns({c: F.lit(None).cast(edges.schema[c].dataType) for c in none})), root, name)
+    return graph.ingestion_stats(graph.node_mentions(records_), edges)
+
+
 def raw_event_counts(lines: DataFrame, dataset: str, width: int = FIVE_MINUTES_NS) -> DataFrame:
     """A-07 from raw lines, by regular expression alone; unrealistic times go (P-10)."""
     kind, host = records.event_key(F.col("value"), dataset)

@@ -147,7 +147,7 @@ SELECT host_id, n_total, n_errors, round(n_errors / n_total, 6) AS error_rate, r
   round(coalesce(p[1], 0), 4) AS p25, round(coalesce(p[2], 0), 4) AS p50, round(coalesce(p[3], 0), 4) AS p75, round(coalesce(p[3] - p[1], 0), 4) AS iqr FROM e""")
 def timing_disorder(spark, sf_dir):
     """A-13, W-02, H.7."""
-    return disorder.disorder(_table(spark, sf_dir, "lineitem"), "l_suppkey", F.floor(micros(F.col("l_shipdate")) / 1_000_000).cast("long"), ORDER)
+    return disorder.disorder(_table(spark, sf_dir, "lineitem"), "l_suppkey", F.floor(micros(F.col("l_shipdate")) / 1_000_000).cast("long"), ORDER, chunk=F.floor(F.col("l_orderkey") / 5000))
 
 
 @register(LEDGER_SQL)
@@ -291,7 +291,7 @@ R_SQL = """SELECT epoch_us(l_shipdate) AS ts_ns, CASE WHEN l_returnflag = 'A' TH
   l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS edge_uuid, 'o' || l_orderkey AS subject_uuid, 'p' || l_partkey AS object_uuid, 'n' || c_nationkey AS host_id, 'c' || o_custkey AS user_principal,
   l_partkey, l_suppkey, l_quantity, l_linenumber, o_orderpriority, l_returnflag
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
-EDGES_SQL = f"SELECT edge_category AS rel_type, CASE WHEN edge_category IN ('WRITE', 'SEND') THEN subject_uuid ELSE object_uuid END AS src, CASE WHEN edge_category IN ('WRITE', 'SEND') THEN object_uuid ELSE subject_uuid END AS dst, edge_uuid, ts_ns, CAST(l_quantity AS BIGINT) AS size_bytes, l_returnflag AS raw_event_type, host_id FROM ({R_SQL})"
+EDGES_SQL = f"SELECT CASE edge_category WHEN 'READ' THEN 'isReadBy' WHEN 'WRITE' THEN 'writes' WHEN 'SEND' THEN 'sends' ELSE 'isExecutedBy' END AS rel_type, CASE WHEN edge_category IN ('WRITE', 'SEND') THEN subject_uuid ELSE object_uuid END AS src, CASE WHEN edge_category IN ('WRITE', 'SEND') THEN object_uuid ELSE subject_uuid END AS dst, edge_uuid, ts_ns, CAST(l_quantity AS BIGINT) AS size_bytes, l_returnflag AS raw_event_type, host_id FROM ({R_SQL})"
 
 
 @register(EDGES_SQL)
@@ -366,13 +366,17 @@ def role_resolution(spark, sf_dir):
     return rows.select("l_partkey", best.alias("role"), several.alias("ambiguous"))
 
 
-@register(f"""SELECT host_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types_raw, arg_min(value, event_id) FILTER (value > 50) AS first_value, arg_max(k, event_id) FILTER (k IS NOT NULL) AS last_k FROM ({E_SQL}) GROUP BY host_id""")
+@register(f"""SELECT CAST(host_id AS VARCHAR) AS uuid, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types_raw, coalesce(arg_min(event_type, event_id) FILTER (value > 50), '') AS path,
+  coalesce(arg_min(k, event_id) FILTER (k <> 0), 0) AS port, arg_max(CAST(k AS VARCHAR), event_id) FILTER (k % 2 = 0) AS parent_uuid, count(DISTINCT event_type = 'view') > 1 AS ambiguous FROM ({E_SQL}) GROUP BY host_id""")
 def lookup_merge(spark, sf_dir):
-    """A-03, A-04: all types, the first value past a bar, the last that isn't null."""
-    rows = _events(spark, sf_dir)
-    return rows.groupBy("host_id").agg(
-        F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types_raw"), F.min_by("value", F.when(F.col("value") > 50, F.col("event_id"))).alias("first_value"), F.max_by("k", F.when(F.col("k").isNotNull(), F.col("event_id"))).alias("last_k")
-    )
+    """A-03, A-04: all types, the first value that isn't empty or zero, the last that isn't null."""
+    none = F.lit(None).cast("string")
+    rows = _events(spark, sf_dir).select(
+        "event_id", F.col("host_id").cast("string").alias("uuid"), F.col("event_type").alias("type"), F.when(F.col("value") > 50, F.col("event_type")).otherwise("").alias("path"), F.col("k").alias("port"),
+        F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).alias("parent_uuid"), *[none.alias(c) for c in ("ip", "cmdline", "pid", "principal_uuid")],
+    )
+    merged = lookup.object_lookup(rows, ["event_id"], role=F.when(F.col("type") == "view", "PROCESS").otherwise("FILE"))
+    return merged.select("uuid", "types_raw", "path", "port", "parent_uuid", "ambiguous")
 
 
 @register(STATS_SQL)
@@ -444,16 +448,13 @@ h AS (SELECT host, p, other FROM ({ORIGIN_SQL}) JOIN x USING (p)) SELECT host, p
 @register(_host_sql("WHERE ts_ns >= 800000000000000 AND ts_ns < 830000000000000"))
 def window_active_nodes(spark, sf_dir):
     """J-05."""
-    records = _records(spark, sf_dir)
-    edges = graph.event_edges(records).where("ts_ns >= 800000000000000 and ts_ns < 830000000000000")
-    return graph.host_nodes(graph.structural_edges(records).where("rel_type = 'originatesFrom'"), edges)
+    return graph.record_host_nodes(_records(spark, sf_dir), 800_000_000_000_000, 830_000_000_000_000)
 
 
 @register(_host_sql(""))
 def host_anytime_nodes(spark, sf_dir):
     """J-06."""
-    records = _records(spark, sf_dir)
-    return graph.host_nodes(graph.structural_edges(records).where("rel_type = 'originatesFrom'"), graph.event_edges(records))
+    return graph.record_host_nodes(_records(spark, sf_dir))
 
 
 def _labels(spark, sf_dir):
@@ -546,17 +547,6 @@ def file_overlap(spark, sf_dir):
     return coverage.overlapping(windows, files, strict=True).select(F.col("slice_file").alias("file"), "start", "end")
 
 
-@register(f"""WITH r AS (SELECT event_id // 100 AS file, ts, lag(ts) OVER (PARTITION BY event_id // 100 ORDER BY event_id) - ts AS jump FROM ({E_SQL}))
-SELECT file, min(ts) AS first_timestamp, max(ts) AS last_timestamp, coalesce(max(jump), 0) <= 10000000 AS likely_ordered,
-  CASE WHEN max(ts % 1000) > 0 THEN 'microseconds' WHEN max(ts % 1000000) > 0 THEN 'milliseconds' ELSE 'seconds' END AS resolution FROM r GROUP BY file""")
-def file_metadata(spark, sf_dir):
-    """S-09a, S-09b."""
-    rows = _events(spark, sf_dir).withColumn("file", F.floor(F.col("event_id") / 100).cast("long"))
-    rows = rows.withColumn("jump", F.lag("ts").over(Window.partitionBy("file").orderBy("event_id")) - F.col("ts"))
-    resolution = F.when(F.max(F.col("ts") % 1000) > 0, "microseconds").when(F.max(F.col("ts") % 1_000_000) > 0, "milliseconds").otherwise("seconds")
-    return rows.groupBy("file").agg(F.min("ts").alias("first_timestamp"), F.max("ts").alias("last_timestamp"), (F.coalesce(F.max("jump"), F.lit(0)) <= 10_000_000).alias("likely_ordered"), resolution.alias("resolution"))
-
-
 @register(f"""WITH r AS (SELECT event_id // 1000 AS file, event_id, CASE WHEN event_id % 3 = 0 THEN ts END AS own FROM ({E_SQL}))
 SELECT file, event_id, last_value(own IGNORE NULLS) OVER (PARTITION BY file ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ts_ns FROM r""")
 def inherited_timestamps(spark, sf_dir):
@@ -567,13 +557,6 @@ def inherited_timestamps(spark, sf_dir):
     return scan.inherit_timestamps(rows, F.col("t")).select(F.col("file_rank").alias("file"), F.col("mid").alias("event_id"), "ts_ns")
 
 
-@register(f"SELECT event_type, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS n_high, count(DISTINCT host_id) AS n_hosts FROM ({E_SQL}) GROUP BY event_type")
-def set_counts(spark, sf_dir):
-    """T-01, T-02: members of a set and of its part."""
-    rows = _events(spark, sf_dir)
-    return rows.groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("n_high"), F.countDistinct("host_id").alias("n_hosts"))
-
-
 @register()
 def ntf_components(spark, sf_dir):
     """N-02 to N-09: components of each host's tensor, by the sweep over ranks 1 to 14 (``DEFAULT_R_RANGE`` of the host sweep)."""
@@ -597,13 +580,3 @@ def hmm_best_k(spark, sf_dir):
 def hmm_states(spark, sf_dir):
     """N-17: days of each host under its best model of two states."""
     return regimes.decode_states(_rw_days(spark, sf_dir), 2)
-
-
-@register()
-def collapse_ephemeral(spark, sf_dir):
-    """N-13: events as processes whose parent is half their id, ephemeral if seen in one bin."""
-    rows = _events(spark, sf_dir)
-    name = lambda c: F.col(c).cast("string")
-    events = rows.select(time_bin(F.col("ts"), DAY).alias("bin"), name("event_id").alias("src"), F.concat(F.lit("h"), name("host_id")).alias("dst"))
-    nodes = rows.select(name("event_id").alias("node"), F.floor(F.col("event_id") / 2).cast("long").cast("string").alias("parent"), F.lit("PROCESS").alias("role"))
-    return regularity.collapse_ephemeral(events, nodes, 2)[0]

@@ -93,16 +93,38 @@ def read_dataset(spark: SparkSession, registry: DataFrame, dataset: str, start:
     return window_lines(rows, start, end)
 
 
-def file_metadata(lines: DataFrame, own: Column, sample: int = 100) -> DataFrame:
+def end_lines(lines: DataFrame, sample: int) -> DataFrame:
+    """First and last ``sample`` lines of each file.
+
+    Counts of the splits (one row each) tell which splits hold them; only those
+    are sorted, so a file is never gathered in a task.
+    """
+    splits = lines.groupBy("file_rank", "block").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy("file_rank").orderBy("block")
+    before = F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    behind = F.coalesce(F.sum("_n").over(over.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    splits = splits.select("file_rank", "block", "_n", before.alias("_before"), behind.alias("_behind")).where((F.col("_before") < sample) | (F.col("_behind") < sample))
+    nth = F.row_number().over(Window.partitionBy("file_rank", "block").orderBy("mid"))
+    rows = lines.join(splits, ["file_rank", "block"]).withColumn("_nth", nth)
+    near = (F.col("_before") + F.col("_nth") <= sample) | (F.col("_behind") + F.col("_n") - F.col("_nth") < sample)
+    return rows.where(near).drop("_n", "_before", "_behind", "_nth")
+
+
+def whole_file_times(lines: DataFrame, own: Column) -> DataFrame:
+    """S-09: extreme times over all lines of a file, for files whose ends say nothing."""
+    real = F.when(own >= REALISTIC_NS, own)
+    return lines.groupBy("file_rank").agg(F.min(own).alias("_first"), F.max(own).alias("_last"), F.min(real).alias("_real"))
+
+
+def file_metadata(lines: DataFrame, own: Column, sample: int = 100, extended: bool = False) -> DataFrame:
     """S-09a..f: a row for each file from its first and last ``sample`` lines and its extreme times.
 
     ``ordered`` allows backward jumps of ten seconds within the samples and
-    from the first to the last of them.
+    from the first to the last of them. ``extended`` takes missing times from
+    all lines of the file.
     """
-    rows = lines.withColumn("t", own)
-    ahead, back = Window.partitionBy("file_rank").orderBy("block", "mid"), Window.partitionBy("file_rank").orderBy(F.desc("block"), F.desc("mid"))
-    rows = rows.withColumns({"up": F.row_number().over(ahead), "down": F.row_number().over(back)})
-    some = rows.where((F.col("up") <= sample) | (F.col("down") <= sample))
+    ahead = Window.partitionBy("file_rank").orderBy("block", "mid")
+    some = end_lines(lines, sample).withColumn("t", own)
     some = some.withColumn("jump", F.lag("t").over(ahead) - F.col("t"))
     timed = F.col("t").isNotNull()
     uuid = F.regexp_extract_all("value", F.lit(r'"([0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})"'), F.lit(1))
@@ -127,7 +149,12 @@ def file_metadata(lines: DataFrame, own: Column, sample: int = 100) -> DataFrame
     )
     case = F.when(~F.col("any"), F.lit(None)).when(F.col("lower") & F.col("upper"), "mixed").when(F.col("lower"), "lower").when(F.col("upper"), "upper").otherwise("no_alpha_hex")
     one = F.when(F.size("sources") == 1, F.get("sources", F.lit(0))).when(F.size("sources") > 1, F.concat(F.lit("mixed:"), F.array_join("sources", ",")))
-    return per.withColumns({"uuid_case": case, "source": one}).drop("lower", "upper", "any", "sources")
+    per = per.withColumns({"uuid_case": case, "source": one}).drop("lower", "upper", "any", "sources")
+    if not extended:
+        return per
+    per = per.join(whole_file_times(lines, own), "file_rank")
+    fill = {"first_timestamp_ns": "_first", "last_timestamp_ns": "_last", "first_realistic_ts_ns": "_real"}
+    return per.withColumns({c: F.coalesce(c, other) for c, other in fill.items()}).drop(*fill.values())
 
 
 def timestamp_kind(value: Column) -> Column:
@@ -151,6 +178,15 @@ def file_registry(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumns({"dataset": dataset, "sub_dataset": part})
 
 
+def annotated_registry(spark: SparkSession, root: str, dataset: str, extended: bool = False) -> DataFrame:
+    """S-09, S-10: the files of a data set with the metadata that their lines give."""
+    files = subset(file_registry(spark, root), dataset)
+    paths = [r["path"] for r in files.select("path").orderBy("path").collect()]
+    ranks = files.withColumn("file_rank", F.row_number().over(Window.orderBy("path")) - 1)
+    meta = file_metadata(read_lines(spark, paths), records.own_timestamp(F.col("value"), dataset), extended=extended)
+    return ranks.join(meta, "file_rank", "left").drop("file_rank")
+
+
 def subset(registry: DataFrame, dataset: str, part: str | None = None) -> DataFrame:
     """S-18: a data set's files."""
     rows = registry.where(F.lower("dataset") == dataset.lower())

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from auditloom.plans import rawlog, reports  # noqa: F401  (register their queries)
 from auditloom.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_sl
 COLUMN_ROWS = 48
 #: Documents and shingles of a block, at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
-#: Hash cells whose counts bound an overlap.
-CELLS = 128
+#: Hash cells whose counts bound an overlap, and the count from which on a cell bounds nothing.
+CELLS, MANY = 128, 255
 #: Columns that a dense product takes at a time, rows that are worked on together, and pairs whose bounds are.
 STRIP, ROWS, PAIRS = 4096, 2048, 20_000
 EDGE = "a long, b long"
@@ -106,26 +107,35 @@ def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> Dat
                     f2.append(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64))
                     order = np.lexsort((s, r))[: prefix_size(len(s), num, den)]
                     prefix.append(as_long(s[order]))
-                    cells.append(np.bincount((s & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype("<u4").tobytes())
+                    cells.append(np.bincount((s & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).clip(max=MANY).astype(np.uint8).tobytes())
             f1, f2 = (pa.array(as_long(np.array(f, U64)), pa.int64()) for f in (f1, f2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), f1, f2, pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["id", "n", "f1", "f2", "prefix", "cells"])
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, prefix array<long>, cells binary")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``id, n, s``: the whole set of each row, packed."""
+def _sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """``id, n, s``: the whole set of each row whose id is needed, packed; texts travel compressed."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        write = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            zipped = pa.array([write((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), zipped], ["id", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             size, packed = [], []
-            for _, _, data, offsets in text_slices(batch.column(1)):
+            texts = pa.array([read(z.as_py()) for z in batch.column(1)], pa.large_binary()).view(pa.large_string())
+            for _, _, data, offsets in text_slices(texts):
                 for s, _ in shingle_sets(split_words(data, offsets, lower=True), n):
                     size.append(len(s))
                     packed.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "s"])
 
-    return docs.mapInArrow(run, "id long, n long, s binary")
+    zipped = texts.where("id is not null").mapInArrow(shrink, "id long, z binary").join(needed, "id")
+    return zipped.select("id", "z").mapInArrow(run, "id long, n long, s binary")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -147,7 +157,8 @@ def _may_link(n: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray, nu
     out = np.zeros(len(x), bool)
     for lo in range(0, len(x), PAIRS):
         i, j = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
-        most = np.minimum(cells[i], cells[j]).sum(1, dtype=np.int64)
+        least = np.minimum(cells[i], cells[j])
+        most = np.where((least == MANY).any(1), np.minimum(n[i], n[j]), least.sum(1, dtype=np.int64))
         out[lo : lo + PAIRS] = den * most >= num * (n[i] + n[j] - most)
     return out
 
@@ -165,7 +176,7 @@ def _column_products(postings: DataFrame, kept: DataFrame, num: int, den: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["col", "stretch"], ROWS):
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "<u4").reshape(-1, CELLS)
+            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
             first = starts(table, ["col", "stretch"])
             x, y = pairs_within(first, np.diff(np.append(first, len(ids))))
             near = (ids[x] != ids[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
@@ -187,7 +198,7 @@ def _pairs_of_leaders(hot: DataFrame, kept: DataFrame, num: int, den: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_rows
-            cells = np.frombuffer(b"".join(batch.column("ca").to_pylist() + batch.column("cb").to_pylist()), "<u4").reshape(-1, CELLS)
+            cells = np.frombuffer(b"".join(batch.column("ca").to_pylist() + batch.column("cb").to_pylist()), np.uint8).reshape(-1, CELLS)
             n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
             may = _may_link(n, cells, np.arange(k), np.arange(k, 2 * k), num, den)
             yield batch.select(["a", "b"]).filter(pa.array(may))
@@ -336,7 +347,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     edges = materialize(edges.distinct(), "ngram-edges")
     members = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("g"))
     needed = members.select("id").union(hot.select("id")).distinct()
-    sets = materialize(_sets(texts.join(needed, "id").select("id", "text"), n), "ngram-sets")
+    sets = materialize(_sets(texts, needed, n), "ngram-sets")
     sizes = members.join(sets.select("id", "n"), "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     members = materialize(members.join(sizes, "g").withColumn("large", (F.col("m") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select("id", "g", "large"), "ngram-members")
     large = members.where("large")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document gets a random key (MD5 of its id), documents are put in key
+Every document gets a random key (MD5 of its id and text), documents are put in key
 order within their source, distributed prefix sums of their sizes run along
 that order, and each source is cut at its exact budget. A budget above the
 source's size takes whole epochs first; the rest is cut from the same order.
@@ -80,9 +80,10 @@ def mix(
     """
     if size is None:
         size = word_count(F.col(text_col))
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    tie = F.md5(F.coalesce(text_col, F.lit("")))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), tie))  # rows of one id spread by their texts
     docs = docs.drop(*[c for c in docs.columns if c.startswith("__mix_") or c in ("_size", "_source_size", "_target", "_taken")])
-    rows = docs.withColumns({"_size": size, "__mix_key": key, "__mix_tie": F.md5(F.coalesce(text_col, F.lit("")))})
+    rows = docs.withColumns({"_size": size, "__mix_key": key, "__mix_tie": tie})
     rows = rows.withColumns({"__mix_wide": F.substring("__mix_key", 1, 3), "__mix_fine": F.substring("__mix_key", 1, 6)})
     fine = rows.groupBy(F.col(source_col).alias("s"), F.col("__mix_wide").alias("w"), F.col("__mix_fine").alias("f")).agg(F.sum("_size").alias("n"))
     wide = fine.groupBy("s", "w").agg(F.sum("n").alias("n"))

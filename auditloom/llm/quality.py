@@ -5,9 +5,16 @@ Positive-unlabelled learning with the non-negative risk: with class prior
 batch's estimate of the negative part falls below zero the step undoes it
 instead, so a flexible model can't profit from an impossible risk.
 
-The model is fitted on the driver from bounded samples of feature vectors
-(``POSITIVES`` and ``UNLABELLED`` documents, those with the least hashes of
-their ids); every document is scored on the executors.
+``pi`` is estimated from trusted positives and unlabelled text alone, by the
+best bin: a first model tells positives from unlabelled text on one half of
+each; on the other halves, the share of unlabelled scores above a threshold
+over that of positives bounds ``pi`` from above, and the threshold with the
+least upper confidence bound is taken.
+
+The model is fitted on the driver from bounded samples of feature vectors:
+``POSITIVES`` trusted documents and ``UNLABELLED`` ones to contrast them with,
+those with the least hashes of their ids. Labels 0 are never looked at. Every
+document is scored on the executors.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ POSITIVES, UNLABELLED = 8_000, 16_000
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 512, 3e-3, 1e-4, 11
+#: Epochs of the model that the class prior is read from, and the confidence of its bounds.
+PRIOR_EPOCHS, DELTA = 20, 0.1
 
 # Byte classes: control, space, newline, digit, upper, lower, each ASCII symbol by itself, other.
 _CLASS = np.zeros(256, np.int64)
@@ -110,8 +119,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise the non-negative risk with logistic loss by mini-batches."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Share of positives in the unlabelled text, by the best bin; one half if either sample is empty."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(SEED)
+    halves = [np.array_split(x[rng.permutation(len(x))], 2) for x in (positive, unlabelled)]
+    model = fit(halves[0][0], halves[1][0], None, PRIOR_EPOCHS)
+    p, u = (np.sort(model.logit(h[1])) for h in halves)
+    # Thresholds at positive scores; shares of scores at or above them.
+    above_p = 1 - np.arange(len(p)) / len(p)
+    above_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    slack = np.sqrt(np.log(4 / DELTA) / (2 * len(p))) + np.sqrt(np.log(4 / DELTA) / (2 * len(u)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:
+    """Minimise the non-negative risk with logistic loss by mini-batches; without a prior, tell the two samples apart."""
     rng = np.random.default_rng(SEED)
     if not len(unlabelled):
         unlabelled = positive if len(positive) else np.zeros((1, N_FEATURES))
@@ -120,13 +145,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     parts = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
     model = Model(mean, scale, parts)
     if not len(positive):
-        parts[2][:], parts[3][:] = 0, np.log(prior / (1 - prior))
+        parts[2][:], parts[3][:] = 0, 0 if prior is None else np.log(prior / (1 - prior))
         return model
     zp, zu = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     m, v, t = [np.zeros_like(w) for w in parts], [np.zeros_like(w) for w in parts], 0
     sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-    for epoch in range(EPOCHS):
-        rate = RATE * (0.5 + 0.5 * np.cos(np.pi * epoch / EPOCHS))
+    for epoch in range(epochs):
+        rate = RATE * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
         order = rng.permutation(len(zu))
         for lo in range(0, len(order), BATCH):
             u, p = zu[order[lo : lo + BATCH]], zp[rng.integers(0, len(zp), BATCH)]
@@ -134,10 +159,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
             h = np.tanh(x @ parts[0] + parts[1])
             s = sigmoid(h @ parts[2] + parts[3][0])
             sp, su = s[: len(p)], s[len(p) :]
-            negative = -np.log1p(-su + 1e-12).mean() + prior * np.log1p(-sp + 1e-12).mean()
             # d l(+)/dg = s - 1 and d l(-)/dg = s.
             gp, gu = np.zeros(len(p)), np.zeros(len(u))
-            if negative >= 0:
+            if prior is None:
+                gp += (sp - 1) / len(p)
+                gu += su / len(u)
+            elif prior * np.log1p(-sp + 1e-12).mean() - np.log1p(-su + 1e-12).mean() >= 0:
                 gp += prior * (sp - 1) / len(p) - prior * sp / len(p)
                 gu += su / len(u)
             else:
@@ -160,17 +187,15 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on bounded samples. Labels come from the training folds; unlabelled text is any document.
+    """Fit on bounded samples. Trusted positives come from the training folds; unlabelled text is any document.
 
-    The class prior is estimated as the share of label 1 among the training
-    folds' labelled rows, kept within 0.05 and 0.95. Rows without an id or a
-    label teach nothing. Without labels the prior is one half.
+    Rows without an id or a label teach nothing, nor does an id that is labelled
+    both ways. Of documents that share an id one is taken, whatever their
+    number. Without positives every score is one half.
     """
     known = labels.select(F.col("doc_id").alias("_id"), "quality").where(F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("_id")))
-    seen = known.agg(F.avg("quality")).first()[0]
-    prior = min(max(0.5 if seen is None else float(seen), 0.05), 0.95)
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null")
-    trusted = known.where("quality = 1").select("_id")
+    trusted = known.groupBy("_id").agg(F.min("quality").alias("q")).where("q = 1").select("_id")
+    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").distinct()
     chosen = least_hashed(trusted, "_id", POSITIVES).withColumn("_kind", F.lit(1)).union(least_hashed(ids, "_id", UNLABELLED).withColumn("_kind", F.lit(0)))
     chosen = chosen.groupBy("_id").agg(F.max("_kind").alias("_positive"), F.min("_kind").alias("_least"))
     # At most POSITIVES + UNLABELLED ids: a proven bound for the broadcast.
@@ -182,10 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             packed = pa.array([r.tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), batch.column(2), packed], ["id", "positive", "least", "x"])
 
-    got = rows.mapInArrow(run, "id string, positive int, least int, x binary").orderBy("id", "x").toArrow()  # a row for each chosen id
+    got = rows.mapInArrow(run, "id string, positive int, least int, x binary").groupBy("id", "positive", "least").agg(F.min("x").alias("x"))
+    got = got.orderBy("id").toArrow()  # a row for each chosen id
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(float)
     positive, least_kind = (got.column(c).to_numpy() for c in ("positive", "least"))
-    return fit(x[positive == 1], x[least_kind == 0], prior)
+    trusted, unlabelled = x[positive == 1], x[least_kind == 0]
+    return fit(trusted, unlabelled, estimate_prior(trusted, unlabelled))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
@@ -202,7 +229,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every document."""
+    """``doc_id, held_out, score, predicted`` for every document, those without id or text included.
+
+    Every row is scored by its own text, so repeated rows and ties need no
+    rule; only the named columns are read. An empty table gives an empty result.
+    """
     model = train(docs, labels, id_col, text_col)
     scored = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).drop("text")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -95,7 +95,7 @@ ORACLES: dict[str, str] = {
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS tie,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS k
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source

@@ -9,9 +9,12 @@ kinds are reported only when the decoded bytes parse:
 * ``jwt``  a signed token: header and claims are JSON objects, the header
   names an algorithm, and the signature has that algorithm's length.
 
-A private key is DER with exactly nested lengths (PKCS #1, PKCS #8 or SEC 1) or
-the length-prefixed OpenSSH format. Public keys and certificates parse but are
-not secrets. Offsets are code points, ends exclusive.
+A private key is DER with exactly nested lengths (PKCS #1, DSA, SEC 1, or PKCS #8
+whose inner key parses by its algorithm) or the length-prefixed OpenSSH format.
+Encrypted ones count too: a PKCS #8 envelope with its parameters, and a PEM block
+with ``Proc-Type`` and ``DEK-Info`` headers whose body is whole cipher blocks.
+Public keys and certificates parse but are not secrets. Offsets are code points,
+ends exclusive.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
 _HEX_ANY = re.compile(rb"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
-_PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_PEM_EDGE = re.compile(rb"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+_PEM_BODY = re.compile(rb"\s*((?:[A-Za-z-]+:[^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]*)")
 _JWT = re.compile(rb"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 #: Every pattern but assignments and PEM blocks lies within a word of this many bytes.
 LONG_WORD = 20
@@ -91,16 +95,75 @@ def is_private_key(data: bytes | None) -> bool:
     if not items or items[0][0] != 0x02:
         return False
     tags, version = [t for t, _, _ in items], data[items[0][1] : items[0][2]]
-    if len(items) >= 9 and set(tags[:9]) == {0x02} and version in (b"\0", b"\1"):
-        return items[1][2] - items[1][1] >= 32  # PKCS #1: modulus, exponents, primes
-    if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\0", b"\1"):
-        algorithm = der_items(data, items[1][1], items[1][2])  # PKCS #8: identifier, then the key itself
-        return bool(algorithm) and algorithm[0][0] == 0x06 and items[2][2] - items[2][1] >= 16
+    size = lambda i: items[i][2] - items[i][1]
+    if tags[:9] == [0x02] * 9 and tags[9:] in ([], [0x30]) and version in (b"\0", b"\1"):
+        return size(1) >= 32  # PKCS #1: modulus, exponents, primes
+    if tags == [0x02] * 6 and version == b"\0":
+        return size(1) >= 64 and size(2) >= 20 and size(5) >= 16  # DSA: p, q, g, public and private number
+    if tags[:3] == [0x02, 0x30, 0x04] and version in (b"\0", b"\1") and all(t in (0xA0, 0xA1, 0x81) for t in tags[3:]):
+        return _is_inner_key(data, items[1], data[items[2][1] : items[2][2]])
     if tags[:2] == [0x02, 0x04] and version == b"\1":
         return items[1][2] - items[1][1] in (20, 24, 28, 32, 48, 66) and all(t in (0xA0, 0xA1) for t in tags[2:])  # SEC 1
     return False
 
 
+#: Algorithm identifiers of PKCS #8 keys, and of password-based encryption.
+_RSA, _DSA, _EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+_RAW_KEYS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def _is_inner_key(data: bytes, identifier: tuple[int, int, int], key: bytes) -> bool:
+    """PKCS #8: the key inside must parse as its algorithm's."""
+    algorithm = der_items(data, identifier[1], identifier[2])
+    if not algorithm or algorithm[0][0] != 0x06:
+        return False
+    name, inner = data[algorithm[0][1] : algorithm[0][2]], der_items(key)
+    if not inner or len(inner) != 1:
+        return False
+    tag, lo, hi = inner[0]
+    if name in _RAW_KEYS:
+        return tag == 0x04 and hi - lo == _RAW_KEYS[name]
+    if name == _DSA:
+        return tag == 0x02 and hi - lo >= 16
+    return name in (_RSA, _EC) and tag == 0x30 and is_private_key(key)
+
+
+def is_encrypted_key(data: bytes | None) -> bool:
+    """Whether the bytes are an encrypted PKCS #8 envelope: password-based algorithm with parameters, then ciphertext."""
+    outer = der_items(data) if data and data[0] == 0x30 else None
+    items = der_items(data, outer[0][1], outer[0][2]) if outer and len(outer) == 1 else None
+    if not items or [t for t, _, _ in items] != [0x30, 0x04]:
+        return False
+    algorithm = der_items(data, items[0][1], items[0][2])
+    if not algorithm or [t for t, _, _ in algorithm] != [0x06, 0x30]:
+        return False
+    parameters = der_items(data, algorithm[1][1], algorithm[1][2])
+    return data[algorithm[0][1] : algorithm[0][2]].startswith(_PASSWORD_BASED) and bool(parameters) and items[1][2] - items[1][1] >= 16
+
+
+def pem_blocks(raw: bytes, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+    """Private-key blocks of ``raw[lo:hi]`` whose body is a key; each line is looked at once."""
+    began, kind, body = 0, b"", -1
+    for m in _PEM_EDGE.finditer(raw, lo, hi):
+        if m[1] == b"BEGIN":
+            began, kind, body = m.start(), m[2], m.end()
+        elif body >= 0:
+            if m[2] == kind and _is_pem_key(raw[body : m.start()]):
+                yield began, m.end()
+            body = -1
+
+
+def _is_pem_key(body: bytes) -> bool:
+    m = _PEM_BODY.fullmatch(body)
+    data = _from_base64(m[2]) if m else None
+    if not data:
+        return False
+    if b"Proc-Type:" in m[1] and b"ENCRYPTED" in m[1]:
+        return b"DEK-Info:" in m[1] and len(data) >= 32 and len(data) % 8 == 0
+    return is_private_key(data) or is_encrypted_key(data)
+
+
 def _is_openssh(data: bytes) -> bool:
     at = 15
 
@@ -134,6 +197,10 @@ def is_signed_token(header: bytes, claims: bytes, signature: bytes) -> bool:
     return len(made) in _SIGNATURES[name] if name in _SIGNATURES else name[:2] in ("RS", "PS") and len(made) >= 128
 
 
+def _is_key(data: bytes | None) -> bool:
+    return is_private_key(data) or is_encrypted_key(data)
+
+
 def _in_word(word: bytes) -> Iterator[tuple[str, int, int]]:
     for m in _ACCESS.finditer(word):
         if m.end() - m.start() >= 20:
@@ -142,11 +209,11 @@ def _in_word(word: bytes) -> Iterator[tuple[str, int, int]]:
         if m.end() - m.start() >= 24:
             yield "hex", m.start(), m.end()
     for m in _HEX_ANY.finditer(word):
-        if (m.end() - m.start()) % 2 == 0 and is_private_key(bytes.fromhex(m[0].decode())):
+        if (m.end() - m.start()) % 2 == 0 and _is_key(bytes.fromhex(m[0].decode())):
             yield "hexkey", m.start(), m.end()
     if len(word) >= 40:
         for m in _BASE64.finditer(word):
-            if is_private_key(_from_base64(m[0])):
+            if _is_key(_from_base64(m[0])):
                 yield "key", m.start(), m.end()
         for m in _JWT.finditer(word):
             if is_signed_token(*m.groups()):
@@ -173,7 +240,7 @@ def spans_of_texts(column: pa.Array) -> list[list[tuple[str, int, int]]]:
             if any(low.find(k, lo, hi) >= 0 for k in _KEYWORDS):
                 hits.setdefault(doc, []).extend(("assign", m.start(), m.end()) for m in _ASSIGN.finditer(raw, lo, hi) if m.end(2) - m.start(2) >= 6)
             if raw.find(b"-----BEGIN ", lo, hi) >= 0:
-                hits.setdefault(doc, []).extend(("pem", m.start(), m.end()) for m in _PEM.finditer(raw, lo, hi) if is_private_key(_from_base64(m[2])))
+                hits.setdefault(doc, []).extend(("pem", s, e) for s, e in pem_blocks(raw, lo, hi))
         for doc, found in hits.items():
             if lead is None:
                 lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -208,7 +275,11 @@ def joined(spans: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts, digest and list of each document's spans."""
+    """Counts, digest and list of each document's spans; a null or empty text has none.
+
+    Every row is handled by itself, null ids and repeated rows included; other
+    columns are not read, so their names don't matter.
+    """
     found = find_secrets(docs.select(F.col(id_col).alias("doc_id"), text_col), text_col).drop(text_col)
     count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("secrets", lambda s: s["kind"].isin(*BASE_KINDS))
@@ -216,10 +287,29 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span, overlapping ones as one, replaced by ``mark``."""
-    found = find_secrets(docs, text_col, "_spans")
-    # Fold over the spans in order: text kept so far, and how far the original is used up.
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["done"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark)).alias("done"), s["end"].alias("at"))).otherwise(F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at")))
-    whole = lambda acc: F.concat(acc["done"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col)))
-    clean = F.aggregate("_spans", F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")), step, whole)
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).drop("_spans")
+    """``docs`` with every span, overlapping ones as one, replaced by ``mark``.
+
+    A null text stays null; all other columns stay as they are. Every text is
+    cut and joined once, however many spans it has.
+    """
+    columns = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def clean(text: str, spans: list[tuple[str, int, int]]) -> str:
+        parts, at = [], 0
+        for _, start, end in spans:
+            if start >= at:
+                parts += [text[at:start], mark]
+            at = max(at, end)
+        return "".join([*parts, text[at:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = columns.index(text_col)
+        for batch in batches:
+            spans = spans_of_texts(batch.column(place))
+            if any(spans):
+                texts = [clean(t, found) if found else t for t, found in zip(batch.column(place).to_pylist(), spans, strict=True)]
+                batch = batch.set_column(place, text_col, pa.array(texts, batch.column(place).type))
+            yield batch
+
+    return docs.mapInArrow(run, fields)

@@ -13,12 +13,17 @@ import json
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Rows of a map group, on average, once there are more than LEAST_GROUPS of them.
 GROUP_ROWS = 1 << 18
 LEAST_GROUPS = 64
+#: Groups whose part of the matrix a plan holds at once.
+PIECE_GROUPS = 1024
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def capacities(rows: int, shards: int) -> list[int]:
@@ -68,41 +73,59 @@ def _random_key(salt: str, *columns: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(salt), *columns))
 
 
+def _matrix_table(spark: SparkSession, present: list[int], matrix: np.ndarray) -> DataFrame:
+    """``_g, _cut``: where each group's rows are cut into shards; a plan never holds more than ``PIECE_GROUPS`` groups."""
+    table = None
+    cuts = np.cumsum(matrix, axis=1)
+    for lo in range(0, max(len(present), 1), PIECE_GROUPS):
+        rows = [{"g": g, "cut": c.tolist()} for g, c in zip(present[lo : lo + PIECE_GROUPS], cuts[lo : lo + PIECE_GROUPS], strict=True)]
+        piece = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<g:int,cut:array<long>>>")).alias("p")).select(F.col("p.g").alias("_g"), F.col("p.cut").alias("_cut"))
+        if len(present) > PIECE_GROUPS:
+            piece = materialize(piece, "shard-matrix")
+        table = piece if table is None else table.union(piece)
+    return table
+
+
 def shuffle_into_shards(
     docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
 ) -> DataFrame:
     """Rows of ``docs`` with ``shard``, ``slot`` (gapless from 0 in its shard), ``size`` and ``text_crc32``.
 
-    ``keep`` names the columns that travel (all by default). Shard sizes differ
-    by one at most (law ``rows``). Reruns agree. Equal texts take their places
-    independently. Null ids and texts are values like any other, with a size of
-    one for a null or empty text; rows equal in id and text are interchangeable.
-    An empty table gives an empty result.
+    ``keep`` names the columns that travel (all by default; maps can't). Shard
+    sizes differ by one at most (law ``rows``). Reruns agree. Equal texts take
+    their places independently. Rows that agree in all that travels, the id,
+    the size and the checksum are counted as one and numbered, so thousands of
+    copies spread like other rows. Null ids and texts are values like any
+    other, with a size of one for a null or empty text. Columns of ``docs``
+    named like the added ones, or starting with ``__shard_``, go. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumns({"_size": F.octet_length(text).cast("long") + 1, "_crc": F.crc32(F.encode(text, "UTF-8"))})
-    rows = rows.select(*[F.col(c) for c in (docs.columns if keep is None else keep)], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"))
-    identity = [F.col("_id"), F.col("size").cast("string"), F.col("text_crc32").cast("string")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ADDED and not c.startswith("__shard_")]
+    rows = docs.select(*kept, F.col(id_col).cast("string").alias("__shard_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("__shard_n"))
+    rows = rows.withColumn("__shard_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__shard_n")))).drop("__shard_n")
+    # Rows that differ in other columns alone must not share their place either.
+    identity = [F.coalesce(F.col("__shard_id"), F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"), F.col("__shard_copy").cast("string"), F.xxhash64(*kept).cast("string")]
     total = docs.count()
     groups = max(LEAST_GROUPS, math.ceil(total / GROUP_ROWS))
     group = F.pmod(F.xxhash64(F.lit(seed), *identity), F.lit(groups)).cast("int")
-    rows = rows.withColumns({"_group": group, "_first": _random_key(f"{seed}a", *identity), "_second": _random_key(f"{seed}b", *identity)})
-    counts = {r["_group"]: r["n"] for r in rows.groupBy("_group").agg(F.count("*").alias("n")).collect()}  # one row per map group
+    rows = rows.withColumns({"__shard_group": group, "__shard_first": _random_key(f"{seed}a", *identity), "__shard_second": _random_key(f"{seed}b", *identity)}).drop("__shard_id", "__shard_copy")
+    counts = {r["g"]: r["n"] for r in rows.groupBy(F.col("__shard_group").alias("g")).agg(F.count("*").alias("n")).collect()}  # one row per map group
     present = sorted(counts)
-    matrix = communication_matrix([counts[g] for g in present], capacities(total, shards), seed)
-    cuts = [{"g": g, "cut": np.cumsum(row).tolist()} for g, row in zip(present, matrix, strict=True)]
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(cuts)), "array<struct<g:int,cut:array<long>>>")).alias("p")).select(F.col("p.g").alias("_g"), F.col("p.cut").alias("_cut"))
+    plan = _matrix_table(spark, present, communication_matrix([counts[g] for g in present], capacities(total, shards), seed))
     # Local permutation, then the matrix says which stretch of it goes where.
-    local = F.row_number().over(Window.partitionBy("_group").orderBy("_first")).cast("long")
-    rows = rows.withColumn("_rank", local).join(plan, F.col("_group") == F.col("_g"))
-    rows = rows.withColumn("shard", F.size(F.filter("_cut", lambda c: c < F.col("_rank"))).cast("int"))
+    local = F.row_number().over(Window.partitionBy("__shard_group").orderBy("__shard_first")).cast("long")
+    rows = rows.withColumn("__shard_rank", local).join(plan, F.col("__shard_group") == F.col("_g"))
+    rows = rows.withColumn("shard", F.size(F.filter("_cut", lambda c: c < F.col("__shard_rank"))).cast("int"))
     # Permutation within the shard: key ranges, their offsets, and ranks within a range.
     fine = max(1, math.ceil(math.log(max(1, total / shards / 4096), 16)) + 1)
-    rows = rows.withColumn("_range", F.substring("_second", 1, fine)).drop("_g", "_cut", "_rank", "_group", "_first")
-    sums = rows.groupBy("shard", "_range").agg(F.count("*").alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.select(F.col("shard").alias("_s"), F.col("_range").alias("_r"), offset.alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_range").orderBy("_second")) - 1
-    rows = rows.withColumn("_inner", rank).join(sums, (F.col("shard") == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return rows.withColumn("slot", (F.col("_offset") + F.col("_inner")).cast("long")).drop("_id", "_second", "_range", "_inner", "_s", "_r", "_offset")
+    rows = rows.withColumn("__shard_range", F.substring("__shard_second", 1, fine)).drop("_g", "_cut", "__shard_rank", "__shard_group", "__shard_first")
+    sums = rows.groupBy("shard", "__shard_range").agg(F.count("*").alias("_n"))
+    offset = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("__shard_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col("shard").alias("_s"), F.col("__shard_range").alias("_r"), offset.alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("shard", "__shard_range").orderBy("__shard_second")) - 1
+    rows = rows.withColumn("__shard_inner", rank).join(sums, (F.col("shard") == F.col("_s")) & (F.col("__shard_range") == F.col("_r")))
+    slot = (F.col("_offset") + F.col("__shard_inner")).cast("long")
+    return rows.select(*kept, "size", "text_crc32", "shard", slot.alias("slot"))

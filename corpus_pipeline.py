@@ -1,15 +1,18 @@
 """Corpus preparation in five stages; each stage's result is written as Parquet and read by the next.
 
 1. quality     documents that the classifier rejects go;
-2. ngram_join  of documents connected by 5-word shingle similarity of 0.8 or more, one stays;
+2. ngram_join  of documents connected by 5-word shingle similarity of 0.8 or more, that of the least id stays;
 3. secrets     secrets are replaced by a mark;
 4. mix         sources are repeated or cut to their target weights;
 5. bpe         texts become token ids, checked by decoding them again.
 
 All but the last keep the columns of ``documents``. A null or empty text has no
 words: it has a score like any text, is in no group, holds no secret, keeps its
-one row in the mix, and has no ids. Rows without an id are in no group; of
-repeated rows of one id, one stays. Empty tables give empty results.
+one row in the mix, and has no ids. Rows without an id are in no group, so all
+of them stay. Rows of one id are one document: it stays or goes as a whole, with
+all its different texts; of rows that agree in id and text the least by the other
+columns stays. Empty tables give empty results. Further columns travel along;
+their names don't matter.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import bpe, jaccard, mixing, quality, secrets
-from auditloom.llm.common import materialize, prepare
+from auditloom.llm.common import prepare, settle
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,10 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     prepare(spark)
     found = jaccard.components(docs, n=5, num=80, den=100)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where("doc_id is null")).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    one = one.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *rest)).alias("_least")).select("doc_id", "text", *[F.col("_least")[c].alias(c) for c in rest])
+    return one.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        # What a stage wrote on its way goes with it, and so does its input.
+        docs = settle(lambda s=stage, d=docs: s(spark, d, sf_dir), spark, f"stage-{name}", replaces=docs)
     return docs

@@ -84,3 +84,23 @@ def test_shards(docs, texts, nothing):
     other = sharding.shuffle_into_shards(docs, 7, seed=8).collect()
     assert sum((a["shard"], a["slot"]) != (b["shard"], b["slot"]) for a, b in zip(sorted(got, key=str), sorted(other, key=str), strict=True)) > len(texts) / 2
     assert sharding.shuffle_into_shards(nothing, 7).count() == 0
+
+
+def test_shards_of_clashing_columns_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE_GROUPS", 10)
+    rows = [(1, "same", 7, 8, 9, "x")] * 900 + [(i, f"t{i}", i, 0, 0, None) for i in range(2, 302)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size int, shard int, slot int, __shard_rank string")
+    got = sharding.shuffle_into_shards(docs.repartition(5), 7).collect()
+    assert len(got) == 1200 and set(got[0].asDict()) == {"doc_id", "text", "size", "text_crc32", "shard", "slot"}
+    per = Counter(r["shard"] for r in got)
+    assert max(per.values()) - min(per.values()) <= 1 and len({(r["shard"], r["slot"]) for r in got}) == 1200
+    copies = Counter(r["shard"] for r in got if r["doc_id"] == 1)
+    assert len(copies) == 7 and min(copies.values()) > 60  # each of 7 shards expects 129
+    again = sharding.shuffle_into_shards(docs.repartition(3), 7).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_spreads_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, f"a b {i}", "s") for i in range(300)] + [(2, "a b", "t")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    assert sum(r["_taken"] for r in got if r["source"] == "t") == 6 and sum(r["_taken"] for r in got if r["source"] == "s") in range(895, 900)

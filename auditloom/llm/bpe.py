@@ -120,7 +120,11 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFra
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` without shipping the ids to the JVM."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` without shipping the ids to the JVM.
+
+    A null text counts as empty, with no ids. Every row is handled by itself,
+    null ids and repeated rows included; other columns are not read.
+    """
     from hashlib import sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

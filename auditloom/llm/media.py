@@ -118,6 +118,8 @@ def write_avi(samples: np.ndarray, scans: bytes, bounds: list[int]) -> bytes:
     for i, n in enumerate(size.tolist()):
         chunks += (opening[n], scans[bounds[i] : bounds[i + 1]], ending[n & 1])
     whole = 8 + size + (size & 1)
+    if int(whole.sum()) + 16 * frames + 1024 > 0xFFFFFFFF:
+        raise ValueError("the payload needs a file beyond RIFF's 32-bit sizes")
     index = np.zeros((frames, 4), "<u4")
     index[:, 0], index[:, 1], index[:, 3] = int.from_bytes(b"00dc", "little"), 0x10, size
     index[:, 2] = 4 + np.cumsum(whole) - whole
@@ -426,7 +428,11 @@ def _files_of(texts: list[str | None], most: int = 1 << 19) -> Iterator[tuple[li
 
 
 def write_media(docs: DataFrame, text_col: str = "text", into: str = "media") -> DataFrame:
-    """``docs`` with an AVI file of each text's bytes; null counts as empty, which is one frame of zeros."""
+    """``docs`` with an AVI file of each text's bytes; null counts as empty, which is one frame of zeros.
+
+    A column named like ``into`` is replaced, all others stay. A file whose
+    sizes pass RIFF's 32 bits raises ``ValueError``.
+    """
     kept = [c for c in docs.columns if c != into]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
@@ -467,7 +473,11 @@ def clip_rows(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back, and digest both."""
+    """Store each text, read the stored bytes back, and digest both.
+
+    A null or empty text is one frame of zeros. Every row is handled by itself,
+    null ids and repeated rows included; other columns are not read.
+    """
     fields = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in fields.split(", ")]
     types = [pa.string() if x.endswith("string") else pa.int64() for x in fields.split(", ")]

@@ -14,6 +14,7 @@ tasks that are run again write whole containers or nothing.
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 from collections.abc import Callable, Iterator
@@ -35,6 +36,8 @@ from .pretokens import ChunkEncoder, packed, read_spec
 MAGIC = b"ALTK1"
 #: Bytes of packed ids after which a container is closed.
 CONTAINER_BYTES = 1 << 18
+#: Bytes of text in a range of ids, on average, once there are more ranges than shuffle partitions.
+RANGE_BYTES = 64 << 20
 #: Stands for a null id in a container.
 NULL_ID = -(1 << 63)
 #: Documents that the dictionary is trained on (those with the least hashes), and its size.
@@ -137,7 +140,9 @@ def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, i
 
     Documents lie in ascending id order (null ids first), ``end_id`` closes
     each. Null texts count as empty. Rows with equal ids stand side by side,
-    ordered by text. An empty table leaves an empty table of containers.
+    ordered by a hash of the text and the text, and may lie in several ranges.
+    A range holds about ``RANGE_BYTES`` of text, whatever the corpus. An empty
+    table leaves an empty table of containers. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -171,8 +176,10 @@ def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, i
         if held:
             yield close()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    bytes_ = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_ / RANGE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     ordered.mapInArrow(run, TABLE).write.parquet(f"{where}/containers")
     spark.range(1).select(F.lit(bytearray(dictionary)).alias("dictionary")).write.parquet(f"{where}/dictionary")
     return dictionary
@@ -219,7 +226,11 @@ def read_token_files(spark: SparkSession, where: str, fields: str = "doc_id long
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Write ``docs`` to token files, read them back, and digest each document's ids."""
+    """Write ``docs`` to token files, read them back, and digest each document's ids.
+
+    A null text counts as empty, and a null id comes first; repeated rows keep a
+    place each.
+    """
     spark = docs.sparkSession
     where = temporary_path(spark, "tokens")
     write_token_files(docs, path, where)

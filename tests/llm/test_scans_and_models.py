@@ -114,6 +114,33 @@ def test_media_round_trip(docs, texts, nothing):
     assert media.digests(nothing).count() == 0
 
 
+def test_media_beside_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "abc", "old", 5), (None, None, None, None)], "doc_id long, text string, media string, n_bytes int")
+    out = media.write_media(rows)
+    assert sorted(out.columns) == ["doc_id", "media", "n_bytes", "text"] and dict(out.dtypes)["media"] == "binary"
+    assert media.digests(rows).count() == 2 and media.load([bytes(r["media"]) for r in out.collect()])[0].samples.size == 64
+
+
+def test_media_feature_against_a_second_count():
+    """Shots by plain loops over the decoded frames: a histogram change above its look-back's mean and deviations."""
+    rng = np.random.default_rng(3)
+    values = np.concatenate([np.clip(rng.normal(level, 9, (17, 64)), 0, 255) for level in (40, 180, 60, 190)])
+    want = []
+    change = [0.0] * len(values)
+    for t in range(len(values)):
+        bins = [[0] * media.BINS, [0] * media.BINS]
+        for k, frame in enumerate((values[t - 1], values[t])):
+            for v in frame:
+                bins[k][(int(v) * media.BINS) >> 8] += 1
+        change[t] = sum(abs(a - b) for a, b in zip(*bins, strict=True)) if t else 0.0
+        past = change[max(1, t - media.LOOK_BACK) : t]
+        mean = sum(past) / max(len(past), 1)
+        spread = (sum(x * x for x in past) / max(len(past), 1) - mean * mean) ** 0.5 if past else 0.0
+        if t == 0 or (t > 1 and change[t] / 128 > media.LEAST and change[t] > mean + media.DEVIATIONS * spread):
+            want.append(t)
+    assert np.flatnonzero(media.shot_starts(values, np.array([0, len(values)]))).tolist() == want
+
+
 def test_media_of_all_bytes():
     rng = np.random.default_rng(0)
     payloads = [bytes(range(256)), b"\xff" * 64, b"\0" * 128, *[rng.integers(0, 256, 64 * k, dtype=np.uint8).tobytes() for k in (1, 50, 3000)]]

@@ -8,8 +8,8 @@ instead, so a flexible model can't profit from an impossible risk.
 ``pi`` is estimated from trusted positives and unlabelled text alone, by the
 best bin: a first model tells positives from unlabelled text on one half of
 each; on the other halves, the share of unlabelled scores above a threshold
-over that of positives bounds ``pi`` from above, and the threshold with the
-least upper confidence bound is taken.
+over that of positives bounds ``pi`` from above; the threshold with the least
+upper confidence bound is taken, and one standard error off its share.
 
 The model is fitted on the driver from bounded samples of feature vectors:
 ``POSITIVES`` trusted documents and ``UNLABELLED`` ones to contrast them with,
@@ -132,7 +132,9 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     above_u = 1 - np.searchsorted(u, p, "left") / len(u)
     slack = np.sqrt(np.log(4 / DELTA) / (2 * len(p))) + np.sqrt(np.log(4 / DELTA) / (2 * len(u)))
     best = int(np.argmin((above_u + slack) / above_p))
-    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+    # One standard error below: a prior that is too high hides negatives, one that is a little too low costs nothing.
+    share = above_u[best] - np.sqrt(above_u[best] * (1 - above_u[best]) / len(u))
+    return float(np.clip(share / above_p[best], 0.05, 0.95))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = EPOCHS) -> Model:

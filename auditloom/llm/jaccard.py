@@ -10,8 +10,8 @@ candidates go through products of blocks:
    out of the prefixes. A column's rows, in order of size, fall into stretches
    whose neighbours are near enough in size; a row alone in its stretch goes.
    The product of a stretch keeps pairs whose sizes allow the bound and whose
-   overlap can reach it: the smaller counts of ``CELLS`` hash cells add up to
-   no less than the overlap. Columns of more than ``COLUMN_ROWS`` rows pair
+   overlap can reach it: the smaller counts of hash cells, of which a set has
+   one for each ``CELL_SHINGLES`` shingles, add up to no less than the overlap. Columns of more than ``COLUMN_ROWS`` rows pair
    each row with the least of its size band instead.
 2. *Components of the candidates.* A component of one block's size is
    multiplied whole: exact overlaps of all its pairs accumulate over strips of
@@ -46,9 +46,9 @@ from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_sl
 #: Rows of a column that are multiplied as one block.
 COLUMN_ROWS = 48
 #: Documents and shingles of a block, at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
-#: Hash cells whose counts bound an overlap, and the count from which on a cell bounds nothing.
-CELLS, MANY = 128, 255
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+#: Shingles of a hash cell, on average; least number of cells; and the count from which on a cell bounds nothing.
+CELL_SHINGLES, LEAST_CELLS, MANY = 8, 128, 255
 #: Columns that a dense product takes at a time, rows that are worked on together, and pairs whose bounds are.
 STRIP, ROWS, PAIRS = 4096, 2048, 20_000
 EDGE = "a long, b long"
@@ -93,6 +93,12 @@ def shingle_sets(words: Words, n: int, ranks: np.ndarray | None = None) -> Itera
             yield np.zeros(0, U64), None if common is None else np.zeros(0, np.uint8)
 
 
+def cell_counts(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's hash cells; their number is a power of two that grows with the set."""
+    cells = max(LEAST_CELLS, 1 << max(len(s) // CELL_SHINGLES, 1).bit_length())
+    return np.bincount((s & U64(cells - 1)).astype(np.int64), minlength=cells).clip(max=MANY).astype(np.uint8)
+
+
 def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
     """``id, n, f1, f2, prefix, cells``: size, 128-bit fingerprint, prefix columns and cell counts of each row's set."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte for each sketch cell
@@ -107,7 +113,7 @@ def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> Dat
                     f2.append(np.add.reduce(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64))
                     order = np.lexsort((s, r))[: prefix_size(len(s), num, den)]
                     prefix.append(as_long(s[order]))
-                    cells.append(np.bincount((s & U64(CELLS - 1)).astype(np.int64), minlength=CELLS).clip(max=MANY).astype(np.uint8).tobytes())
+                    cells.append(cell_counts(s).tobytes())
             f1, f2 = (pa.array(as_long(np.array(f, U64)), pa.int64()) for f in (f1, f2))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), f1, f2, pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())], ["id", "n", "f1", "f2", "prefix", "cells"])
 
@@ -152,14 +158,41 @@ def _band(num: int, den: int) -> Column:
     return F.floor(F.log(F.col("n").cast("double")) / (math.log(den / num) * (1 + 1e-9)) if num < den else F.col("n")).cast("long")
 
 
-def _may_link(n: np.ndarray, cells: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+class Cells:
+    """Cell counts of many sets, by number of cells; the finer of a pair is folded to the other's."""
+
+    def __init__(self, packed: list[bytes]):
+        self.size = np.array([len(x) for x in packed], np.int64)
+        self._packed, self._level = packed, {}
+
+    def at(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each set in the matrix of the sets that have so many cells or more, and that matrix."""
+        if cells not in self._level:
+            rows = np.flatnonzero(self.size >= cells)
+            matrix = np.empty((len(rows), cells), np.uint8)
+            for k, i in enumerate(rows.tolist()):
+                x = np.frombuffer(self._packed[i], np.uint8).reshape(-1, cells)
+                matrix[k] = np.where((x == MANY).any(0), MANY, np.minimum(x.sum(0, dtype=np.int64), MANY)) if len(x) > 1 else x[0]
+            place = np.full(len(self.size), -1, np.int64)
+            place[rows] = np.arange(len(rows))
+            self._level[cells] = place, matrix
+        return self._level[cells]
+
+
+def _may_link(n: np.ndarray, cells: Cells, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which of the pairs link unless their overlap stays below its upper bound."""
     out = np.zeros(len(x), bool)
-    for lo in range(0, len(x), PAIRS):
-        i, j = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
-        least = np.minimum(cells[i], cells[j])
-        most = np.where((least == MANY).any(1), np.minimum(n[i], n[j]), least.sum(1, dtype=np.int64))
-        out[lo : lo + PAIRS] = den * most >= num * (n[i] + n[j] - most)
+    shared = np.minimum(cells.size[x], cells.size[y])
+    for count in np.unique(shared).tolist():
+        pairs = np.flatnonzero(shared == count)
+        place, matrix = cells.at(count)
+        step = max(1, PAIRS * LEAST_CELLS // count)
+        for lo in range(0, len(pairs), step):
+            at = pairs[lo : lo + step]
+            i, j = x[at], y[at]
+            least = np.minimum(matrix[place[i]], matrix[place[j]])
+            most = np.where((least == MANY).any(1), np.minimum(n[i], n[j]), least.sum(1, dtype=np.int64))
+            out[at] = den * most >= num * (n[i] + n[j] - most)
     return out
 
 
@@ -176,7 +209,7 @@ def _column_products(postings: DataFrame, kept: DataFrame, num: int, den: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["col", "stretch"], ROWS):
             ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
-            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+            cells = Cells(table.column("cells").to_pylist())
             first = starts(table, ["col", "stretch"])
             x, y = pairs_within(first, np.diff(np.append(first, len(ids))))
             near = (ids[x] != ids[y]) & (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y]))
@@ -198,7 +231,7 @@ def _pairs_of_leaders(hot: DataFrame, kept: DataFrame, num: int, den: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.num_rows
-            cells = np.frombuffer(b"".join(batch.column("ca").to_pylist() + batch.column("cb").to_pylist()), np.uint8).reshape(-1, CELLS)
+            cells = Cells(batch.column("ca").to_pylist() + batch.column("cb").to_pylist())
             n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
             may = _may_link(n, cells, np.arange(k), np.arange(k, 2 * k), num, den)
             yield batch.select(["a", "b"]).filter(pa.array(may))

@@ -60,6 +60,23 @@ def test_block_product():
     assert all(inner[i, j] == (i != j and exact(a[i], a[j])) for i in range(30) for j in range(30))
 
 
+def test_cells_never_understate_an_overlap():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    sets = [np.unique(pool[rng.integers(0, top, size)]) for size, top in ((5, 9), (900, 1200), (1100, 1200), (9000, 12_000), (12_000, 14_000), (40_000, 60_000))]
+    cells, n = jaccard.Cells([jaccard.cell_counts(s).tobytes() for s in sets]), np.array([len(s) for s in sets])
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            num = both * 1000 // (n[i] + n[j] - both)
+            assert jaccard._may_link(n, cells, np.array([i]), np.array([j]), num, 1000).all()
+    other = [np.unique(rng.integers(0, 1 << 63, k).astype(np.uint64)) for k in (6000, 6100)]  # long and unrelated
+    two = jaccard.Cells([jaccard.cell_counts(s).tobytes() for s in other])
+    assert not jaccard._may_link(np.array([6000, 6100]), two, np.array([0]), np.array([1]), 80, 100).any()
+    full = jaccard.cell_counts(np.arange(300, dtype=np.uint64) << np.uint64(20))  # one cell beyond its count
+    assert jaccard._may_link(np.array([300, 300]), jaccard.Cells([full.tobytes()] * 2), np.array([0]), np.array([1]), 100, 100).all()
+
+
 def test_prefix_is_enough():
     for n in range(1, 200):
         assert jaccard.prefix_size(n, 9, 10) == n - int(np.ceil(round(0.9 * n, 9))) + 1

@@ -20,7 +20,8 @@ candidates go through products of blocks:
    first, a block for each centre. Where that, or a column of step 1 that was
    not multiplied whole, leaves several components of links, the documents are
    dealt into blocks by size and by component, and all pairs of blocks that can
-   still connect two components are multiplied.
+   still connect two components are compared: by cells first, and those that may
+   link by the product of their sets.
 
 A block sends spanning stars of what it linked, never pairs. Nothing is
 sampled: every pair that may link is compared, unless it is connected already.
@@ -29,7 +30,7 @@ sampled: every pair that may link is compared, unless it is connected already.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -318,19 +319,13 @@ def _star_products(edges: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     return rows.mapInArrow(run, EDGE)
 
 
-def _block_products(groups: DataFrame, reached: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between different components of links among documents that share a group ``col``.
+def _dealt(members: DataFrame) -> DataFrame:
+    """``lo, hi, id, component, block``: members ``id, component, g, n`` dealt to all pairs of blocks that can connect two components.
 
     Blocks hold documents of one size band; those of a large component keep to
     themselves, so that pairs of blocks that are connected already are told
     from the blocks alone and never travel.
     """
-    known = groups.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("col").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1")
-    known = materialize(known.join(mixed.select("col", "hub"), "col").select("id", "hub", "component").distinct(), "ngram-mixed")
-    hubs = connected_components(known.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    members = known.select("id", "component").distinct().join(hubs.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
-    members = members.join(sets.select("id", "n"), "id").withColumn("band", _band(num, den))
     parts = lambda docs, shingles: F.greatest(F.ceil(F.sum(docs) / BLOCK_DOCS), F.ceil(F.sum(shingles) / BLOCK_SHINGLES))
     own = members.groupBy("g", "band", "component").agg(F.count("*").alias("m"), F.sum("n").alias("total"), parts(F.lit(1), F.col("n")).alias("own"))
     pooled = own.where("own = 1").groupBy("g", "band").agg(parts("m", "total").alias("pool"))
@@ -342,21 +337,64 @@ def _block_products(groups: DataFrame, reached: DataFrame, sets: DataFrame, num:
     above = blocks.select("g", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("at"), F.col("block").alias("hi"), F.col("c0").alias("d0"), F.col("c1").alias("d1"))
     pairs = blocks.join(above, ["g", "band"]).where("(at > band or block <= hi) and not (c0 = c1 and d0 = d1 and c0 = d0)").select(F.col("block").alias("lo"), "hi")
     ends = pairs.select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"))
-    rows = members.select("id", "component", "block").join(ends, "block").join(sets.select("id", "s"), "id")
+    return members.select("id", "component", "block").join(ends, "block").select("lo", "hi", "id", "component", "block")
+
+
+def _between(rows: DataFrame, linked: Callable[[pd.DataFrame, np.ndarray, np.ndarray | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Spanning stars ``a, b`` of what ``linked`` finds between different components in each pair of blocks."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
         ids, part, block = (frame[c].to_numpy() for c in ("id", "component", "block"))
-        s = [np.frombuffer(x, U64) for x in frame["s"]]
-        a, b = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        link = block_links([s[k] for k in a], None if lo == hi else [s[k] for k in b], num, den)
-        i, j = np.nonzero(link & (part[a][:, None] != part[b][None, :]))
-        x, y = spanning_stars(ids, a[i], b[j])
+        a = np.flatnonzero(block == lo)
+        i, j = linked(frame, a, None if lo == hi else np.flatnonzero(block == hi))
+        apart = part[i] != part[j]
+        x, y = spanning_stars(ids, i[apart], j[apart])
         return pd.DataFrame({"a": x, "b": y})
 
     return rows.groupBy("lo", "hi").applyInPandas(run, EDGE)
 
 
+def _block_products(groups: DataFrame, reached: DataFrame, texts: DataFrame, kept: DataFrame, n: int, num: int, den: int) -> DataFrame | None:
+    """Links between different components of links among documents that share a group ``col``; None if nothing may link.
+
+    Blocks of cell counts tell first who may link at all; only those come with
+    their sets.
+    """
+    known = groups.join(reached.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = known.groupBy("col").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("hub")).where("c0 <> c1")
+    known = materialize(known.join(mixed.select("col", "hub"), "col").select("id", "hub", "component").distinct(), "ngram-mixed")
+    hubs = connected_components(known.select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    members = known.select("id", "component").distinct().join(hubs.select(F.col("node").alias("id"), F.col("component").alias("g")), "id")
+    members = members.join(kept.select("id", "n").distinct(), "id").withColumn("band", _band(num, den))
+
+    def may_link(frame: pd.DataFrame, a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        size, part, cells = frame["n"].to_numpy(), frame["component"].to_numpy(), Cells(frame["cells"].tolist())
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in a.tolist():
+            other = a[a > i] if b is None else b
+            near = (part[other] != part[i]) & (den * np.minimum(size[other], size[i]) >= num * np.maximum(size[other], size[i]))
+            other = other[near]
+            other = other[_may_link(size, cells, np.full(len(other), i), other, num, den)]
+            left.append(np.full(len(other), i))
+            right.append(other)
+        return np.concatenate(left), np.concatenate(right)
+
+    candidates = materialize(_between(_dealt(members).join(kept.select("id", "n", "cells"), "id"), may_link), "ngram-candidates")
+    if candidates.isEmpty():
+        return None
+    narrowed = connected_components(candidates).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    members = members.drop("g").join(narrowed, "id")
+    sets = materialize(_sets(texts, narrowed.select("id"), n), "ngram-sets")
+
+    def link(frame: pd.DataFrame, a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        s = [np.frombuffer(x, U64) for x in frame["s"]]
+        i, j = np.nonzero(block_links([s[k] for k in a], None if b is None else [s[k] for k in b], num, den))
+        return a[i], (a if b is None else b)[j]
+
+    return _between(_dealt(members).join(sets.select("id", "s"), "id"), link)
+
+
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -379,8 +417,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     edges = _column_products(postings.where(F.col("m") <= COLUMN_ROWS), kept, num, den).union(_pairs_of_leaders(hot, kept, num, den))
     edges = materialize(edges.distinct(), "ngram-edges")
     members = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    needed = members.select("id").union(hot.select("id")).distinct()
-    sets = materialize(_sets(texts, needed, n), "ngram-sets")
+    sets = materialize(_sets(texts, members.select("id"), n), "ngram-sets")
     sizes = members.join(sets.select("id", "n"), "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     members = materialize(members.join(sizes, "g").withColumn("large", (F.col("m") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select("id", "g", "large"), "ngram-members")
     large = members.where("large")
@@ -389,8 +426,9 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     reached = connected_components(links)
     groups = hot.select("col", "id").union(large.select(F.xxhash64(F.lit("component"), "g").alias("col"), "id"))
     if not groups.isEmpty():
-        more = materialize(_block_products(groups, reached, sets, num, den), "ngram-links")
-        if not more.isEmpty():
+        more = _block_products(groups, reached, texts, kept, n, num, den)
+        if more is not None:
+            more = materialize(more, "ngram-links")
             stars = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
             reached = connected_components(stars.union(more))
     joined = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left")

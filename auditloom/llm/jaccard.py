@@ -47,7 +47,7 @@ from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_sl
 #: Rows of a column that are multiplied as one block.
 COLUMN_ROWS = 48
 #: Documents and shingles of a block, at most.
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_500_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Shingles of a hash cell, on average; least number of cells; and the count from which on a cell bounds nothing.
 CELL_SHINGLES, LEAST_CELLS, MANY = 8, 128, 255
 #: Columns that a dense product takes at a time, rows that are worked on together, and pairs whose bounds are.
@@ -247,15 +247,17 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
     overlaps added up.
     """
     other = left if right is None else right
+    sides = (left,) if right is None else (left, other)  # a block with itself is laid out once
     sizes = [np.array([len(x) for x in side], np.int64) for side in (left, other)]
-    columns = [np.concatenate(side) if len(side) else np.zeros(0, U64) for side in (left, other)]
-    shared = np.intersect1d(np.unique(columns[0]), np.unique(columns[1]), assume_unique=True)
+    columns = [np.concatenate(side) if len(side) else np.zeros(0, U64) for side in sides]
     if right is None:
         values, times = np.unique(columns[0], return_counts=True)
         shared = values[times > 1]
+    else:
+        shared = np.intersect1d(np.unique(columns[0]), np.unique(columns[1]), assume_unique=True)
     overlap = np.zeros((len(left), len(other)), np.float32)
     places = []
-    for side, size in zip(columns, sizes, strict=True):
+    for side, size in zip(columns, sizes, strict=False):
         row = np.repeat(np.arange(len(size)), size)
         at = np.minimum(np.searchsorted(shared, side), max(len(shared) - 1, 0))
         hit = shared[at] == side if len(shared) else np.zeros(len(side), bool)
@@ -264,12 +266,12 @@ def block_links(left: list[np.ndarray], right: list[np.ndarray] | None, num: int
         places.append((row[order], at[order]))
     for lo in range(0, len(shared), STRIP):
         dense = []
-        for (row, at), size in zip(places, sizes, strict=True):
+        for (row, at), size in zip(places, sizes, strict=False):
             i, j = np.searchsorted(at, [lo, lo + STRIP])
             block = np.zeros((len(size), min(STRIP, len(shared) - lo)), np.float32)
             block[row[i:j], at[i:j] - lo] = 1
             dense.append(block)
-        overlap += dense[0] @ dense[1].T
+        overlap += dense[0] @ dense[-1].T
     both = np.rint(overlap).astype(np.int64)
     if right is None:
         np.fill_diagonal(both, 0)  # an only-own column is not shared; itself is no partner

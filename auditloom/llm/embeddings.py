@@ -6,12 +6,18 @@ projections quantised by ``WIDTH``, and there are ``TABLES`` tables. At cosine
 0.998; closer pairs do nearly always, unrelated ones hardly ever. Equal vectors
 (of equal label) are one class from the start and never paired.
 
-1. A task looks for buckets among its own vectors first and sends only one
-   vector for each bucket (and those that ``SIGNS`` random signs tell apart from
-   it), so a bucket that holds a third of all vectors arrives as one row for
-   each few thousand of them. What is sent is a key and an id.
-2. Buckets of two or more give candidate edges, by signs alone.
-3. Components of the candidates get their vectors, once. All pairs of a
+1. A task looks for buckets among its own vectors first. Of one that is crowded
+   there it sends one vector to the bucket, and those that ``SIGNS`` random signs
+   tell apart from it; the rows of the others lie under their ids. So a bucket
+   that holds a third of all vectors arrives as few rows. What is sent is a key
+   and an id.
+2. Buckets of two or more give candidate edges, by signs alone; large ones a part
+   at a time, where the least vector comes to every part.
+3. Of buckets that were crowded or parted, those that still hold several
+   components of candidates are taken whole: every vector meets all those of
+   other components, in blocks. So any two vectors that share a bucket and most
+   signs end in one component, however many others lie there.
+4. Components of the candidates get their vectors, once. All pairs of a
    component are multiplied, in blocks of ``BLOCK`` vectors: every link of a
    pair that is connected by candidates counts, whether it shared a bucket or
    not. Tasks send a count for each vector and spanning stars, never pairs.
@@ -36,6 +42,8 @@ HASHES, TABLES, WIDTH, SEED = 16, 80, 2.0, 5
 SIGNS, DIFFER = 128, 36
 #: Rows that are worked on together; vectors of a block, on average; of a group whose pairs are listed.
 ROWS, BLOCK, SMALL = 4096, 512, 48
+#: Vectors of a bucket in one task from which on one of them speaks for those like it.
+CROWD = 8
 _KEY_BITS = U64(48)
 
 
@@ -73,22 +81,28 @@ def _unit(packed: list[bytes], kind: str) -> np.ndarray:
 
 
 def _bucket_rows(ids: np.ndarray, label: np.ndarray, unit: np.ndarray) -> pa.RecordBatch:
-    """``h, id, near``: one row for each bucket and vector, or the vector that speaks for it in all its buckets here."""
+    """``h, id, near, crowd``: a row for each bucket and vector.
+
+    Where another vector, ``near``, speaks for it here, the bucket stands in
+    ``crowd`` and ``h`` is the vector's id.
+    """
     h = mix(keys(unit) + label.view(U64)[:, None] * U64(0x9E3779B97F4A7C15)) >> (U64(64) - _KEY_BITS)
     row = np.repeat(np.arange(len(ids)), TABLES)
     h = h.ravel()
     order = np.lexsort((ids[row], h))
-    h, row = h[order], row[order]
+    h, row = h[order].astype(np.int64), row[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    speaker = np.repeat(row[first], np.diff(np.append(first, len(h))))
+    size = np.diff(np.append(first, len(h)))
+    speaker = np.repeat(row[first], size)
     packed = signs(unit)
-    other = np.flatnonzero(speaker != row)
+    other = np.flatnonzero((ids[speaker] != ids[row]) & (np.repeat(size, size) >= CROWD))
     spoken = other[(label[row[other]] == label[speaker[other]]) & _alike(packed[row[other]], packed[speaker[other]])]
     alone = np.ones(len(h), bool)
     alone[spoken] = False
-    edges = np.unique(np.stack([ids[row[spoken]], ids[speaker[spoken]]], axis=1), axis=0)
-    columns = [np.concatenate([h[alone].astype(np.int64), edges[:, 0]]), np.concatenate([ids[row[alone]], edges[:, 0]]), np.concatenate([ids[row[alone]], edges[:, 1]])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "id", "near"])
+    there, quiet = ids[row[alone]], ids[row[spoken]]
+    crowd = pa.array(np.concatenate([np.zeros(len(there), np.int64), h[spoken]]), mask=np.arange(len(h)) < len(there))
+    columns = [np.concatenate([h[alone], quiet]), np.concatenate([there, quiet]), np.concatenate([there, ids[speaker[spoken]]])]
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), crowd], ["h", "id", "near", "crowd"])
 
 
 def _near_pairs(unit: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -138,8 +152,46 @@ def _count_links(table: pa.Table, threshold: float, kind: str) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["id", "links", "root"])
 
 
-def _candidates(classes: DataFrame, kind: str) -> DataFrame:
-    """Candidate edges ``a, b``: vectors that share a bucket and most of their signs."""
+def _between_components(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidate edges ``a, b`` between different components ``c`` of the same bucket, of rows ``h, id, c`` of whole buckets.
+
+    All but a bucket's largest component are guests; each guest meets every
+    other vector of the bucket, in blocks of some ``BLOCK`` guests and vectors.
+    """
+    parts = rows.groupBy("h", "c").agg(F.count("*").alias("m")).groupBy("h").agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    parts = parts.where("most.m < n").select("h", F.col("most.c").alias("host"), blocks(F.col("n") - F.col("most.m")).alias("guests"), blocks(F.col("n")).alias("all"))
+    rows = rows.join(parts, "h").join(signed, "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["id", "l", "s", "c"]
+    guests = rows.where("c <> host").withColumn("i", own("guests")).select("h", "i", every("all").alias("j"), F.lit(True).alias("guest"), *kept)
+    others = rows.withColumn("j", own("all")).select("h", every("guests").alias("i"), "j", F.lit(False).alias("guest"), *kept)
+    rows = guests.union(others).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["h", "i", "j"], ROWS):
+            ids, label, component = (table.column(c).to_numpy() for c in ("id", "l", "c"))
+            guest = table.column("guest").to_numpy()
+            packed = np.frombuffer(b"".join(table.column("s").to_pylist()), "<u8").reshape(len(ids), -1)
+            first = starts(table, ["h", "i", "j"])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)], strict=True):
+                x, y = lo + np.flatnonzero(guest[lo:hi]), lo + np.flatnonzero(~guest[lo:hi])
+                for k in range(0, len(x), 64):
+                    some = x[k : k + 64, None]
+                    near = (np.bitwise_count(packed[some] ^ packed[y]).sum(2) <= DIFFER) & (label[some] == label[y]) & (component[some] != component[y])
+                    i, j = np.nonzero(near)
+                    left.append(some[i, 0])
+                    right.append(y[j])
+            a, b = spanning_stars(ids, np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _candidate_components(classes: DataFrame, kind: str) -> DataFrame:
+    """``node, component`` of candidate edges: any two vectors that share a bucket and most of their signs are in one component."""
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -167,15 +219,16 @@ def _candidates(classes: DataFrame, kind: str) -> DataFrame:
                 out[at] = signs(_unit([packed[i] for i in at], kind))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("l"), pa.array([r.tobytes() for r in out], pa.binary())], ["id", "l", "s"])
 
-    # Rows of a task's own edges lie under the id of their vector, apart from the buckets.
-    entries = classes.select("id", "l", "x").mapInArrow(buckets, "h long, id long, near long")
-    bucket = Window.partitionBy("h", F.col("id") == F.col("near"))
-    entries = entries.withColumns({"least": F.min("id").over(bucket), "size": F.count("*").over(bucket)}).where("id <> near or size > 1")
+    # Rows of vectors that another speaks for lie under the vector's id, apart from the buckets.
+    entries = classes.select("id", "l", "x").mapInArrow(buckets, "h long, id long, near long, crowd long")
+    bucket = Window.partitionBy("h", F.col("crowd").isNull())
+    entries = entries.withColumns({"least": F.min("id").over(bucket), "size": F.count("*").over(bucket)}).where("crowd is not null or size > 1")
     entries = materialize(entries, "vector-buckets")
+    sent, spoken = entries.where("crowd is null"), entries.where("crowd is not null")
     parts = F.ceil(F.col("size") / SMALL).cast("int")
     places = F.when(F.col("id") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")))
-    shared = entries.where("id = near").select("h", F.explode(places).alias("part"), "id")
-    shared = shared.join(classes.select("id", "l", "x").mapInArrow(signed, "id long, l long, s binary"), "id")
+    with_signs = classes.select("id", "l", "x").mapInArrow(signed, "id long, l long, s binary")
+    shared = sent.select("h", F.explode(places).alias("part"), "id").join(with_signs, "id")
     shared = shared.repartition("h", "part").sortWithinPartitions("h", "part").select("h", "part", "id", "l", "s")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +247,18 @@ def _candidates(classes: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     found = shared.mapInArrow(pairs, "a long, b long")
-    return entries.where("id <> near").select(F.col("id").alias("a"), F.col("near").alias("b")).union(found).distinct()
+    near = connected_components(spoken.select(F.col("id").alias("a"), F.col("near").alias("b")).union(found).distinct())
+    # What speakers and parts kept from meeting: whole buckets, where they hold several components.
+    crowds = spoken.select(F.col("crowd").alias("h"), "id")
+    if crowds.isEmpty() and sent.where(F.col("size") > SMALL).isEmpty():
+        return near
+    small = sent.where(F.col("size") <= SMALL).select("h", "id").join(crowds.select("h").distinct(), "h", "left_semi")
+    whole = crowds.union(sent.where(F.col("size") > SMALL).select("h", "id")).union(small).distinct()
+    whole = whole.join(near.select(F.col("node").alias("id"), "component"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
+    more = materialize(_between_components(whole, with_signs), "vector-guests")
+    if more.isEmpty():
+        return near
+    return connected_components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", embedding_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -227,7 +291,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     label = rows.schema["label"].dataType.simpleString()
     classes = classes.select("label", F.xxhash64("label").alias("l"), "id", "n", "v").mapInArrow(packed, f"label {label}, l long, id long, n long, x binary")
     classes = materialize(classes, "vectors")
-    near = connected_components(_candidates(classes, kind)).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    near = _candidate_components(classes, kind).select(F.col("node").alias("id"), F.col("component").alias("g"))
     sizes = near.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = near.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")

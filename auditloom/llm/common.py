@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import materialize, settle, shared_dir, temporary_path  # noqa: F401
+from .grouping import spanning_stars
 
 #: Rows of one Arrow batch sent to Python; texts are long, so batches are short.
 ARROW_ROWS = 400
+#: Edges of a graph that one task settles by itself, 16 bytes each; larger ones take rounds over all tasks.
+FEW_EDGES = 100_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -16,6 +24,12 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def let_go() -> None:
+    """Drop the tokenizer that other work has left in this Python worker."""
+    if bpe := sys.modules.get("auditloom.llm.bpe"):
+        bpe.load.cache_clear()
+
+
 def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
     """At most ``n`` rows, those whose ``column`` hashes least: a sample that reruns agree on.
 
@@ -29,10 +43,22 @@ def least_hashed(rows: DataFrame, column: str, n: int) -> DataFrame:
     return rows.orderBy(place, column).limit(n)
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, component`` of the whole graph of edges ``u, v``."""
+    held = list(batches)
+    if held:
+        table = pa.Table.from_batches(held)
+        ids, place = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+        node, least = spanning_stars(ids, place[: table.num_rows], place[table.num_rows :])
+        centres = np.setdiff1d(ids, node)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, centres])), pa.array(np.concatenate([least, centres]))], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node, over undirected ``edges``.
 
-    Alternates large-star and small-star steps until the edge set stands still.
+    A graph of at most ``FEW_EDGES`` edges is settled in one task. Of a larger one
+    alternates large-star and small-star steps until the edge set stands still.
     Every step is an aggregate and a join, so a hub's edges are spread over
     tasks by partial aggregation and skew-join splitting. Returns ``(node,
     component)`` for the nodes that appear in an edge; null ends and loops are
@@ -40,6 +66,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     pairs = materialize(pairs.where("u is not null and v is not null and u <> v").distinct(), "cc-edges")
+    if pairs.count() <= FEW_EDGES:
+        return materialize(pairs.coalesce(1).mapInArrow(_settled, "node long, component long"), "cc-edges", replaces=pairs)
     while True:  # every round brings nodes nearer to their least, so it ends; as a rule after a logarithm of the longest path
         # Settled once all are stars: each larger end has one smaller one, which is no larger end itself.
         ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")

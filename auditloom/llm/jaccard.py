@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, let_go, materialize
 from .grouping import pairs_within, spanning_stars, starts, whole_groups
 from .sketch import cell, count_cells
 from .textkit import U64, Words, as_long, gram_hashes, mix, split_words, text_slices
@@ -105,6 +105,7 @@ def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a byte for each sketch cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             size, f1, f2, prefix, cells = [], [], [], [], []
             for _, _, data, offsets in text_slices(batch.column(1)):
@@ -122,9 +123,14 @@ def _rows(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> Dat
 
 
 def _sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """``id, n, s``: the whole set of each row whose id is needed, packed; texts travel compressed."""
+    """``id, n, s``: the whole set of each row whose id is needed, packed; texts travel compressed.
+
+    The needed texts are written in between, so that no task holds two Python
+    workers.
+    """
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         write = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             zipped = pa.array([write((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())
@@ -142,7 +148,8 @@ def _sets(texts: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], ["id", "n", "s"])
 
     zipped = texts.where("id is not null").mapInArrow(shrink, "id long, z binary").join(needed, "id")
-    return zipped.select("id", "z").mapInArrow(run, "id long, n long, s binary")
+    zipped = materialize(zipped.select("id", "z"), "ngram-texts")
+    return materialize(zipped.mapInArrow(run, "id long, n long, s binary"), "ngram-sets", replaces=zipped)
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -387,7 +394,7 @@ def _block_products(groups: DataFrame, reached: DataFrame, texts: DataFrame, kep
         return None
     narrowed = connected_components(candidates).select(F.col("node").alias("id"), F.col("component").alias("g"))
     members = members.drop("g").join(narrowed, "id")
-    sets = materialize(_sets(texts, narrowed.select("id"), n), "ngram-sets")
+    sets = _sets(texts, narrowed.select("id"), n)
 
     def link(frame: pd.DataFrame, a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         s = [np.frombuffer(x, U64) for x in frame["s"]]
@@ -419,7 +426,7 @@ def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     edges = _column_products(postings.where(F.col("m") <= COLUMN_ROWS), kept, num, den).union(_pairs_of_leaders(hot, kept, num, den))
     edges = materialize(edges.distinct(), "ngram-edges")
     members = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    sets = materialize(_sets(texts, members.select("id"), n), "ngram-sets")
+    sets = _sets(texts, members.select("id"), n)
     sizes = members.join(sets.select("id", "n"), "id").groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     members = materialize(members.join(sizes, "g").withColumn("large", (F.col("m") > BLOCK_DOCS) | (F.col("total") > BLOCK_SHINGLES)).select("id", "g", "large"), "ngram-members")
     large = members.where("large")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed
+from .common import least_hashed, let_go
 from .textkit import gram_hashes, split_words, text_slices
 
 #: Most documents of either kind that the model is fitted on.
@@ -204,6 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_positive", "_least", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             x = features(batch.column(3))
             packed = pa.array([r.tobytes() for r in x], pa.binary())
@@ -223,6 +224,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "sc
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             scores = model.score(features(batch.column(kept.index(text_col))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*kept, into])

@@ -3,7 +3,8 @@
 A byte-level pre-tokenizer looks at most one white-space run ahead, so a text
 may be cut before a space that has a non-white neighbour. Chunks and, below
 them, pre-tokens repeat across a corpus; both are cached, in tables of bounded
-bytes.
+bytes. Many texts at once are cut by Arrow, which also finds the distinct chunks,
+so that Python sees each of them once.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The byte-level pre-tokenizer's pattern, white space spelled out as the Unicode property.
@@ -26,6 +30,10 @@ _OLD = "\u0500"
 
 #: Entries of the two tables, and characters of a key from which on nothing is kept: with ids, 1 KB an entry at most.
 CHUNKS, PIECES, LONGEST = 800_000, 400_000, 32
+#: Entries of the table of words for many texts at once, which needs no table of chunks beside it.
+WORDS = 1_000_000
+#: Neither letters, numbers nor white space: a run of them behind a word is one pre-token. Apostrophes may begin a contraction.
+_SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def read_spec(path: str) -> dict:
@@ -57,6 +65,35 @@ class Known(dict):
         return value
 
 
+class Recent(dict):
+    """Like ``Known``, but the half asked for last stays when it is full. ``make_all`` makes the values of many keys."""
+
+    def __init__(self, make_all: Callable[[list[str]], list[bytes]], most: int):
+        super().__init__()
+        self._make_all, self._half, self._older = make_all, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._older.get(key)
+        if value is None:
+            (value,) = self._make_all([key])
+        if len(key) <= LONGEST:
+            if len(self) >= self._half:
+                self._turn()
+            self[key] = value
+        return value
+
+    def _turn(self) -> None:
+        self._older = dict(self)
+        self.clear()
+
+    def learn(self, keys: set[str]) -> None:
+        """Makes the values that ``keys`` lack; all of them stay until the next call, however many they are."""
+        new = [k for k in keys if k not in self and k not in self._older and len(k) <= LONGEST]
+        if self and len(self) + len(new) > self._half:
+            self._turn()
+        self.update(zip(new, self._make_all(new), strict=True))
+
+
 def packed(ids: Sequence[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers."""
     out = array("I", ids)
@@ -69,15 +106,17 @@ class ChunkEncoder:
     """Encodes whole texts; ``encode_piece`` does the work for a pre-token not seen lately.
 
     Results are ids packed as little-endian unsigned 32-bit integers. Memory is
-    bounded whatever the corpus.
+    bounded whatever the corpus. ``encode_words`` does the same for many words of
+    letters at once, each taken with a space before it.
     """
 
-    def __init__(self, encode_piece: Callable[[str], bytes], special: dict[str, int], chunks: int = CHUNKS, pieces: int = PIECES):
+    def __init__(self, encode_piece: Callable[[str], bytes], special: dict[str, int], chunks: int = CHUNKS, pieces: int = PIECES, words: int = WORDS, encode_words: Callable | None = None):
         self._special = special
         longest_first = sorted(special, key=len, reverse=True)
         self._split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
         self._piece = Known(encode_piece, pieces)
         self._after = Known(self._chunk, chunks)
+        self._word = Recent(encode_words or (lambda found: [encode_piece(" " + w) for w in found]), words)
 
     def __call__(self, text: str) -> bytes:
         if self._split is None or not any(s in text for s in self._special):
@@ -99,3 +138,77 @@ class ChunkEncoder:
 
     def _by_piece(self, text: str) -> bytes:
         return b"".join(map(self._piece.__getitem__, _PIECES.findall(text)))
+
+    def many(self, texts: pa.Array) -> Iterator[bytes]:
+        """What a call gives for each of ``texts``, an array of strings without nulls; a distinct chunk is encoded once.
+
+        Memory goes with the bytes of ``texts``, about ten times as many.
+        """
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        coded = cut.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        heads = at[bounds[:-1]]
+        whole = self._uncut(texts, chunks, at, bounds)
+        none = len(chunks)
+        at[np.repeat(whole, np.diff(bounds))] = none
+        at[bounds[:-1]] = none  # no space before them
+        used = np.zeros(none + 1, bool)
+        used[at] = True
+        spaced = np.flatnonzero(used[:none]).tolist()
+        ids = [b""] * (none + 1)
+        for i, x in zip(spaced, self._spaced([chunks[i] for i in spaced]), strict=True):
+            ids[i] = x
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        _, offsets, data = taken.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(at) + 1)[bounds].tolist()
+        body = memoryview(data) if data else b""
+        for i, (head, alone) in enumerate(zip(heads.tolist(), whole.tolist(), strict=True)):
+            if alone:
+                yield self(texts[i].as_py())
+            else:
+                yield self._by_piece(chunks[head]) + body[ends[i] : ends[i + 1]]
+
+    def _uncut(self, texts: pa.Array, chunks: list[str], at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Which texts hold a special token, or a space that ``_UNSAFE`` finds between the chunks numbered ``at``."""
+        whole = np.zeros(len(texts), bool)
+        for s in self._special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        edged = [i for i, c in enumerate(chunks) if not c or c != c.strip()]
+        if edged:
+            opens, closes = np.zeros((2, len(chunks)), bool)
+            for i in edged:
+                c = chunks[i]
+                opens[i], closes[i] = not c or c[0].isspace(), not c or c[-1].isspace()
+            unsafe = closes[at[:-1]] & opens[at[1:]]
+            found = np.searchsorted(bounds, np.flatnonzero(unsafe), "right") - 1
+            inside = np.flatnonzero(unsafe) + 1 < bounds[found + 1]  # both chunks are the same text's
+            whole[found[inside]] = True
+        return whole
+
+    def _spaced(self, chunks: list[str]) -> list[bytes]:
+        """Chunks behind a space, by their words as far as they show without a pattern."""
+        lines = []
+        for i, c in enumerate(chunks):
+            if "\n" in c:
+                line, _, rest = c.partition("\n")
+                if line and rest and not line[-1].isspace() and not rest[0].isspace():  # the line feed is a pre-token
+                    lines.append((i, rest))
+                    chunks[i] = line
+        stems = [c.rstrip(_SIGNS) for c in chunks]
+        plain = [_is_word(w) for w in stems]
+        self._word.learn({w for w, p in zip(stems, plain, strict=True) if p})
+        word, piece = self._word, self._piece
+        ids = [
+            (word[w] if len(w) == len(c) else word[w] + piece[c[len(w) :]]) if p else self._by_piece(" " + c)
+            for c, w, p in zip(chunks, stems, plain, strict=True)
+        ]
+        for i, rest in lines:
+            ids[i] += piece["\n"] + (piece[rest] if _is_word(rest) else self._by_piece(rest))
+        return ids
+
+
+def _is_word(text: str) -> bool:
+    """Letters only, and those old ones: one pre-token, with or without a space before it."""
+    return text.isalpha() and (text.isascii() or max(text) < _OLD)

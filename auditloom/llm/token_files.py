@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,10 @@ NULL_ID = -(1 << 63)
 SAMPLE_DOCS, DICT_BYTES = 400, 64 << 10
 #: A sampled text of more characters than PIECES * PIECE_CHARS gives so many pieces at hashed positions, a shorter one all of it.
 PIECES, PIECE_CHARS = 8, 2000
+#: Words that the tokenizers library gets in one call, and in one string of it.
+WORDS_AT_ONCE, LINE = 10_000, 100
+#: Bytes of text that are cut and looked up together, unless one text has more.
+GROUP_BYTES = 16 << 20
 TABLE = "part int, before long, n_docs long, n_tokens long, data binary"
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -55,7 +60,7 @@ def library_encoder(path: str) -> ChunkEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        read_spec(path)
+        spec = read_spec(path)
         model = Tokenizer.from_file(path)
         special = {t.content: i for i, t in model.get_added_tokens_decoder().items()}
         alphabet = byte_alphabet()  # the library's model takes pre-tokens in its byte alphabet
@@ -66,7 +71,25 @@ def library_encoder(path: str) -> ChunkEncoder:
                 return packed([t.id for t in core(space + piece[1:])])
             return packed([t.id for t in core(piece.encode().decode("latin-1").translate(alphabet))])
 
-        _encoders[path] = ChunkEncoder(encode, special)
+        # No merge knows the character of byte 255, which no UTF-8 holds, so words may stand in one string with it between them.
+        bare, end = Tokenizer(model.model), model.model.token_to_id(alphabet[255])
+        apart = end is not None and not any(alphabet[255] in x for pair in spec["model"]["merges"] for x in pair)
+        between = alphabet | {0: alphabet[255]}
+
+        def encode_words(words: list[str]) -> list[bytes]:
+            if not apart:
+                return [encode(" " + w) for w in words]
+            out = []
+            for i in range(0, len(words), WORDS_AT_ONCE):
+                found = words[i : i + WORDS_AT_ONCE]
+                strings = ["".join([f" {w}\0" for w in found[k : k + LINE]]) for k in range(0, len(found), LINE)]
+                coded = bare.encode_batch_fast([s.encode().decode("latin-1").translate(between) for s in strings], add_special_tokens=False)
+                ids = np.concatenate([np.array(c.ids, "<u4") for c in coded])
+                ends, data = (4 * np.flatnonzero(ids == end)).tolist(), ids.tobytes()
+                out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends, strict=False)]
+            return out
+
+        _encoders[path] = ChunkEncoder(encode, special, encode_words=encode_words)
     return _encoders[path]
 
 
@@ -135,6 +158,27 @@ def sample_pieces(rows: DataFrame) -> DataFrame:
     return least_hashed(rows.select("doc_id", pieces.alias("pieces")), "doc_id", SAMPLE_DOCS).select("doc_id", F.explode("pieces").alias("text"))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in groups of up to ``most`` bytes of the strings in ``column``; a longer string is alone."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, base = 0, 0
+        while at < batch.num_rows:
+            upto = int(np.searchsorted(ends, base + most - size, "right"))
+            if not held:
+                upto = max(upto, at + 1)
+            if upto > at:
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1]) - base
+                at, base = upto, int(ends[upto - 1])
+            if at < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """Tokenize ``docs`` into containers under ``where``; returns the dictionary, also kept there.
 
@@ -162,12 +206,12 @@ def write_token_files(docs: DataFrame, path: str, where: str, end_id: int = 0, i
             row = (part, before, len(held), sum(len(x) for _, x in held), data)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _ARROW, strict=True)], [*_NAMES])
 
-        for batch in batches:
-            parts, ids, texts = (batch.column(i) for i in range(3))
-            for i in range(batch.num_rows):
-                part = parts[i].as_py()
-                tokens = np.concatenate([np.frombuffer(encoder(texts[i].as_py()), "<u4"), end])
-                held.append((ids[i].as_py(), tokens))
+        for group in by_bytes(batches, "text", GROUP_BYTES):
+            parts, ids = group.column("part").to_pylist(), group.column("doc_id").to_pylist()
+            for doc_id, coded in zip(ids, encoder.many(group.column("text")), strict=True):
+                part = parts[0]
+                tokens = np.concatenate([np.frombuffer(coded, "<u4"), end])
+                held.append((doc_id, tokens))
                 size += 4 * len(tokens)
                 if size >= CONTAINER_BYTES:
                     yield close()

@@ -66,32 +66,32 @@ class Known(dict):
 
 
 class Recent(dict):
-    """Like ``Known``, but the half asked for last stays when it is full. ``make_all`` makes the values of many keys."""
+    """Values of keys seen lately, for many keys at a time; when it is full, the half asked for last stays."""
 
     def __init__(self, make_all: Callable[[list[str]], list[bytes]], most: int):
         super().__init__()
         self._make_all, self._half, self._older = make_all, max(1, most // 2), {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self._older.get(key)
-        if value is None:
-            (value,) = self._make_all([key])
-        if len(key) <= LONGEST:
-            if len(self) >= self._half:
-                self._turn()
-            self[key] = value
-        return value
-
-    def _turn(self) -> None:
-        self._older = dict(self)
-        self.clear()
-
-    def learn(self, keys: set[str]) -> None:
-        """Makes the values that ``keys`` lack; all of them stay until the next call, however many they are."""
-        new = [k for k in keys if k not in self and k not in self._older and len(k) <= LONGEST]
-        if self and len(self) + len(new) > self._half:
-            self._turn()
-        self.update(zip(new, self._make_all(new), strict=True))
+    def all(self, keys: list[str]) -> list[bytes]:
+        """The values of different ``keys``, made at once as far as they lack. One call's keys stay together, however many they are."""
+        values = list(map(self.get, keys))
+        lacking = [i for i, v in enumerate(values) if v is None]
+        if self and len(self) + len(lacking) > self._half:
+            older, self._older = self._older, dict(self)
+            self.clear()
+        else:
+            older = self._older
+        new = []
+        for i in lacking:
+            if (value := older.get(keys[i])) is None:
+                new.append(i)
+            else:
+                values[i] = self[keys[i]] = value
+        for i, value in zip(new, self._make_all([keys[i] for i in new]), strict=True):
+            values[i] = value
+            if len(keys[i]) <= LONGEST:
+                self[keys[i]] = value
+        return values
 
 
 def packed(ids: Sequence[int]) -> bytes:
@@ -148,67 +148,100 @@ class ChunkEncoder:
         bounds = cut.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         coded = cut.flatten().dictionary_encode()
-        chunks, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
-        heads = at[bounds[:-1]]
+        chunks, at = coded.dictionary, coded.indices.to_numpy().copy()
+        heads = strings(chunks.take(pa.array(at[bounds[:-1]])))
         whole = self._uncut(texts, chunks, at, bounds)
-        none = len(chunks)
-        at[np.repeat(whole, np.diff(bounds))] = none
+        at[np.repeat(whole, np.diff(bounds))] = none = len(chunks)
         at[bounds[:-1]] = none  # no space before them
-        used = np.zeros(none + 1, bool)
-        used[at] = True
-        spaced = np.flatnonzero(used[:none]).tolist()
-        ids = [b""] * (none + 1)
-        for i, x in zip(spaced, self._spaced([chunks[i] for i in spaced]), strict=True):
-            ids[i] = x
-        taken = pa.array(ids, pa.large_binary()).take(pa.array(at))
+        place = np.zeros(none + 1, np.int64)
+        place[at] = 1
+        used = np.flatnonzero(place[:none])
+        place[:] = len(used)
+        place[used] = np.arange(len(used))
+        taken = self._spaced(chunks.take(pa.array(used))).take(pa.array(place[at]))
         _, offsets, data = taken.buffers()
         ends = np.frombuffer(offsets, np.int64, len(at) + 1)[bounds].tolist()
         body = memoryview(data) if data else b""
-        for i, (head, alone) in enumerate(zip(heads.tolist(), whole.tolist(), strict=True)):
+        for i, (head, alone) in enumerate(zip(heads, whole.tolist(), strict=True)):
             if alone:
                 yield self(texts[i].as_py())
             else:
-                yield self._by_piece(chunks[head]) + body[ends[i] : ends[i + 1]]
+                yield self._by_piece(head) + body[ends[i] : ends[i + 1]]
 
-    def _uncut(self, texts: pa.Array, chunks: list[str], at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _uncut(self, texts: pa.Array, chunks: pa.Array, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Which texts hold a special token, or a space that ``_UNSAFE`` finds between the chunks numbered ``at``."""
         whole = np.zeros(len(texts), bool)
         for s in self._special:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        edged = [i for i, c in enumerate(chunks) if not c or c != c.strip()]
-        if edged:
-            opens, closes = np.zeros((2, len(chunks)), bool)
-            for i in edged:
-                c = chunks[i]
-                opens[i], closes[i] = not c or c[0].isspace(), not c or c[-1].isspace()
-            unsafe = closes[at[:-1]] & opens[at[1:]]
-            found = np.searchsorted(bounds, np.flatnonzero(unsafe), "right") - 1
-            inside = np.flatnonzero(unsafe) + 1 < bounds[found + 1]  # both chunks are the same text's
-            whole[found[inside]] = True
+        offsets, data = _parts(chunks)
+        opens, closes = np.zeros((2, len(chunks)), bool)
+        some = np.flatnonzero(np.diff(offsets) > 0)
+        opens[:] = closes[:] = np.diff(offsets) == 0
+        for edge, end, where in ((opens, 0, data[offsets[some]]), (closes, -1, data[offsets[some + 1] - 1])):
+            maybe = some[(where <= 0x20) | (where >= 0x80)]
+            edge[maybe] = [c[end].isspace() for c in strings(chunks.take(pa.array(maybe)))]
+        unsafe = closes[at[:-1]] & opens[at[1:]]
+        found = np.searchsorted(bounds, np.flatnonzero(unsafe), "right") - 1
+        inside = np.flatnonzero(unsafe) + 1 < bounds[found + 1]  # both chunks are the same text's
+        whole[found[inside]] = True
         return whole
 
-    def _spaced(self, chunks: list[str]) -> list[bytes]:
-        """Chunks behind a space, by their words as far as they show without a pattern."""
-        lines = []
-        for i, c in enumerate(chunks):
-            if "\n" in c:
-                line, _, rest = c.partition("\n")
+    def _spaced(self, chunks: pa.Array) -> pa.Array:
+        """Ids of different chunks behind a space and, last, of none; by their words as far as they show without a pattern."""
+        n, piece = len(chunks), self._piece
+        more, second, third = [b""], np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)  # what follows a chunk's word, as places in ``more``
+        broken = np.flatnonzero(pc.match_substring(chunks, "\n").to_numpy(zero_copy_only=False))
+        if len(broken):
+            lines, mask = [], np.zeros(n, bool)
+            for i, c in zip(broken.tolist(), strings(chunks.take(pa.array(broken))), strict=True):
+                line, feed, rest = c.partition("\n")
                 if line and rest and not line[-1].isspace() and not rest[0].isspace():  # the line feed is a pre-token
-                    lines.append((i, rest))
-                    chunks[i] = line
-        stems = [c.rstrip(_SIGNS) for c in chunks]
-        plain = [_is_word(w) for w in stems]
-        self._word.learn({w for w, p in zip(stems, plain, strict=True) if p})
-        word, piece = self._word, self._piece
-        ids = [
-            (word[w] if len(w) == len(c) else word[w] + piece[c[len(w) :]]) if p else self._by_piece(" " + c)
-            for c, w, p in zip(chunks, stems, plain, strict=True)
-        ]
-        for i, rest in lines:
-            ids[i] += piece["\n"] + (piece[rest] if _is_word(rest) else self._by_piece(rest))
-        return ids
+                    lines.append(line)
+                    mask[i], third[i] = True, len(more)
+                    more.append(piece[feed] + (piece[rest] if _is_word(rest) else self._by_piece(rest)))
+            chunks = pc.replace_with_mask(chunks, pa.array(mask), pa.array(lines, chunks.type))
+        stems = pc.ascii_rtrim(chunks, _SIGNS)
+        plain = _are_words(stems)
+        coded = stems.filter(pa.array(plain)).dictionary_encode()
+        words = self._word.all(strings(coded.dictionary))
+        first = np.full(n + 1, len(words))
+        first[:n][plain] = coded.indices.to_numpy()
+        sizes = pc.binary_length(stems).to_numpy()
+        tailed = np.flatnonzero(plain & (pc.binary_length(chunks).to_numpy() > sizes))
+        seen: dict[str, int] = {}
+        for i, c, k in zip(tailed.tolist(), strings(chunks.take(pa.array(tailed))), pc.utf8_length(stems.take(pa.array(tailed))).to_pylist(), strict=True):
+            if (at := seen.get(tail := c[k:])) is None:
+                at = seen[tail] = len(more)
+                more.append(piece[tail])
+            second[i] = at
+        other = np.flatnonzero(~plain)
+        second[other] = np.arange(len(more), len(more) + len(other))
+        more += [self._by_piece(" " + c) for c in strings(chunks.take(pa.array(other)))]
+        word, rest = pa.array([*words, b""], pa.large_binary()), pa.array(more, pa.large_binary())
+        return pc.binary_join_element_wise(word.take(pa.array(first)), rest.take(pa.array(second)), rest.take(pa.array(third)), pa.scalar(b"", pa.large_binary()))
+
+
+def strings(array: pa.Array) -> list[str]:
+    """What ``to_pylist`` gives, much faster."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of an array of strings."""
+    array = array.cast(pa.large_binary())
+    _, offsets, data = array.buffers()
+    return np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1], np.frombuffer(data or b"", np.uint8)
 
 
 def _is_word(text: str) -> bool:
     """Letters only, and those old ones: one pre-token, with or without a space before it."""
     return text.isalpha() and (text.isascii() or max(text) < _OLD)
+
+
+def _are_words(array: pa.Array) -> np.ndarray:
+    """``_is_word`` of strings; the first byte of newer letters is beyond those of the old."""
+    plain = pc.utf8_is_alpha(array).to_numpy(zero_copy_only=False).copy()
+    offsets, data = _parts(array)
+    newer = np.flatnonzero(data >= _OLD.encode()[0])
+    plain[np.searchsorted(offsets, newer[(newer >= offsets[0]) & (newer < offsets[-1])], "right") - 1] = False
+    return plain

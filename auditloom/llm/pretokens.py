@@ -31,7 +31,7 @@ _OLD = "\u0500"
 #: Entries of the two tables, and characters of a key from which on nothing is kept: with ids, 1 KB an entry at most.
 CHUNKS, PIECES, LONGEST = 800_000, 400_000, 32
 #: Entries of the table of words for many texts at once, which needs no table of chunks beside it.
-WORDS = 1_000_000
+WORDS = 800_000
 #: Neither letters, numbers nor white space: a run of them behind a word is one pre-token. Apostrophes may begin a contraction.
 _SIGNS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
@@ -142,7 +142,7 @@ class ChunkEncoder:
     def many(self, texts: pa.Array) -> Iterator[bytes]:
         """What a call gives for each of ``texts``, an array of strings without nulls; a distinct chunk is encoded once.
 
-        Memory goes with the bytes of ``texts``, about ten times as many.
+        Memory goes with the bytes of ``texts``.
         """
         cut = pc.split_pattern(texts, " ")
         bounds = cut.offsets.to_numpy().astype(np.int64)

@@ -48,7 +48,7 @@ PIECES, PIECE_CHARS = 8, 2000
 #: Words that the tokenizers library gets in one call, and in one string of it.
 WORDS_AT_ONCE, LINE = 10_000, 100
 #: Bytes of text that are cut and looked up together, unless one text has more.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 TABLE = "part int, before long, n_docs long, n_tokens long, data binary"
 
 _encoders: dict[str, ChunkEncoder] = {}
